@@ -23,13 +23,13 @@ def key_text(c: Column | str) -> Column:
     return F.when(t != "", t)
 
 
-def heavy_keys(df: DataFrame, key: str, share: float, tasks: int = 32) -> DataFrame:
+def heavy_keys(df: DataFrame, key: str, share: float, tasks: int = 32, counts: DataFrame | None = None) -> DataFrame:
     """(key, rows, salts) of the non-null keys holding at least `share` of all rows of df.
 
-    At most 1/share rows come out. `salts` is in proportion to the key's weight, so that
+    At most 1/share rows come out. `counts` gives (key, rows) if they are known already. `salts` is in proportion to the key's weight, so that
     one salt of a heavy key is about as large as `share` of the rows, and at most `tasks`.
     """
-    counts = df.groupBy(F.col(key)).agg(F.count(F.lit(1)).alias("rows"))
+    counts = counts or df.groupBy(F.col(key)).agg(F.count(F.lit(1)).alias("rows"))
     total = counts.agg(F.sum("rows").alias("total"))
     weight = F.col("rows") / F.col("total")
     return (
@@ -39,13 +39,13 @@ def heavy_keys(df: DataFrame, key: str, share: float, tasks: int = 32) -> DataFr
     )
 
 
-def salted_pair(many: DataFrame, few: DataFrame, key: str, spread: str, share: float = 0.005) -> tuple[DataFrame, DataFrame]:
+def salted_pair(many: DataFrame, few: DataFrame, key: str, spread: str, share: float = 0.005, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Give both frames a column `__salt` such that equal keys still meet.
 
     Rows of `many` with a heavy key are dealt over the key's salts by a hash of `spread`;
     rows of `few` with such a key are copied to each of them. Other keys keep salt 0.
     """
-    hot = F.broadcast(heavy_keys(many.select(key), key, share).select(F.col(key).alias("__hot"), "salts"))
+    hot = F.broadcast(heavy_keys(many.select(key), key, share, counts=counts).select(F.col(key).alias("__hot"), "salts"))
     left = (
         many.join(hot, many[key] == F.col("__hot"), "left")
         .withColumn("__salt", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.col("salts"))).cast("int"))
