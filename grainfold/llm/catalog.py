@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainfold.llm import copies, neardup
+from grainfold.llm.leaks import leaks
+from grainfold.llm.mixing import Mixture, mix
+from grainfold.llm.splitting import Split, split_texts, token_totals
 from grainfold.llm.topn import top_n
 from grainfold.operators.skew import key_text
 from grainfold.session import table
@@ -47,12 +50,60 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(reviews, key_text("id"), conf, F.col("parent_asin"), 5).select(F.col("grp").alias("id"), "rnk", F.col("item").alias("parent_asin"))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    items = table(spark, d, "eval_items").select("item_id", "passage")
+    return leaks(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("passage"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).where("kind = 'phrase'").select("doc_id", F.col("item_id").cast("int").alias("item_id"))
+
+
+def p8_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d)
+
+
+def _mixture(spark: SparkSession, d: str) -> Mixture:
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return mix(docs, F.col("doc_id"), F.col("source"), F.col("text"), table(spark, d, "mix_targets"))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).rates
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).shares
+
+
+SPLIT = Split(limit=1024, overlap=64)
+
+
+def _docs(spark: SparkSession, d: str) -> tuple:
+    return table(spark, d, "documents").select("doc_id", "text"), F.col("doc_id"), F.col("text"), SPLIT
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return token_totals(*_docs(spark, d)).where(F.col("tokens") > SPLIT.limit).select("doc_id")
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_texts(*_docs(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_classes": p4_classes,
     "p5_found": p5_found,
     "p5_collapsed": p5_collapsed,
     "p6_found": p6_found,
+    "p8_found": p8_found,
+    "p8_matches": p8_matches,
+    "p9_rates": p9_rates,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_pieces": p10_pieces,
 }
 
 _MID = "nullif(lower(trim(id)), '')"
