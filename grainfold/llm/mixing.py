@@ -24,11 +24,12 @@ from grainfold.session import written
 
 @dataclass(frozen=True)
 class Mix:
-    """buckets: hashed words of the classifier; rounds, step: of the gradient descent;
+    """buckets: hashed words of the classifier; damping: see posteriors; rounds, step: of the gradient descent;
     total: wanted tokens (None: the most at which every share can be met);
     path: the tokenizer's file; max_sources bounds the model that goes to the workers."""
 
     buckets: int = 4096
+    damping: float = 0.75
     rounds: int = 40
     step: float = 0.8
     total: float | None = None
@@ -42,23 +43,11 @@ class Mixture:
     shares: DataFrame
 
 
-_SHAPE = np.arange(0x110000, dtype=np.uint32)
-for _a, _b, _c in (("a", "z", "a"), ("A", "Z", "A"), ("0", "9", "0"), ("\u00c0", "\uffff", "a")):
-    _SHAPE[ord(_a) : ord(_b) + 1] = ord(_c)
-
-
 def _features(texts: list[str], buckets: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(begin, end, features, features per text) by slices: hashed words, then hashed runs of
-    four character shapes (layout and punctuation tell sources apart)."""
-    half = np.uint64(buckets // 2)
+    """(begin, end, hashed words, words per text) by slices of the texts."""
     for a, b in tv.slices(texts):
-        batch = tv.Batch(texts[a:b])
-        words, counts = batch.words()
-        codes = _SHAPE[np.frombuffer("".join(texts[a:b]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.uint64)
-        grams, sizes = tv.word_runs(codes, batch.lengths, 4)
-        both = np.concatenate([words % half, half + grams % half]).astype(np.int64)
-        owner = np.concatenate([np.repeat(np.arange(b - a), counts), np.repeat(np.arange(b - a), sizes)])
-        yield a, b, both[np.argsort(owner, kind="stable")], counts + sizes
+        words, counts = tv.Batch(texts[a:b]).words()
+        yield a, b, (words % np.uint64(buckets)).astype(np.int64), counts
 
 
 def class_counts(docs: DataFrame, m: Mix) -> DataFrame:
@@ -97,8 +86,8 @@ def fit_classifier(docs: DataFrame, sources: int, m: Mix) -> np.ndarray:
 
 
 def posteriors(texts: list[str], weights: np.ndarray, m: Mix) -> np.ndarray:
-    """Source posteriors (texts x sources). The words' evidence is damped by the root of their
-    number, as words of a text do not come independently."""
+    """Source posteriors (texts x sources). The words' evidence is divided by a power of their
+    number, as the words of a text do not come independently: undamped, it is overconfident."""
     out = np.zeros((len(texts), len(weights)))
     for a, b, f, counts in _features(texts, m.buckets):
         score = np.tile(weights[:, -1], (b - a, 1))
@@ -106,7 +95,7 @@ def posteriors(texts: list[str], weights: np.ndarray, m: Mix) -> np.ndarray:
         if len(f):
             begins = (np.cumsum(counts) - counts)[full]
             for c in range(len(weights)):
-                score[full, c] += np.add.reduceat(weights[c, f], begins) / np.sqrt(counts[full])
+                score[full, c] += np.add.reduceat(weights[c, f], begins) / counts[full] ** m.damping
         score -= score.max(1, keepdims=True)
         p = np.exp(score)
         out[a:b] = p / p.sum(1, keepdims=True)
