@@ -34,7 +34,7 @@ class Similarity:
     at_least: Fraction = Fraction(8, 10)
     min_words: int = 5
     rows: int = 3
-    bands: int = 24
+    bands: int = 32
     matches: int = 4
     #: Posting lists longer than this are tallied block against block in separate tasks.
     block: int = 8192
