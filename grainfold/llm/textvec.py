@@ -17,7 +17,7 @@ _GOLD, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB1
 #: Odd bases of the rolling polynomial hashes, modulo 2^64.
 BASES = (_U(0x9E3779B97F4A7C15 | 1), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
 #: Texts are worked on in slices of about so many characters; a longer text is a slice of its own.
-SLICE = 1_000_000
+SLICE = 200_000
 
 _fold_table: np.ndarray | None = None
 
