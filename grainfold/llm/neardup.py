@@ -3,7 +3,7 @@
 Every distinct text gets a signature of positional bytes: byte i is the low byte of the
 smallest value of hash function i over the text's word runs, so two texts agree at a
 position with a chance that equals their similarity. An inverted index lists texts by the
-bytes at groups of `rows` positions. Two texts meeting in a list are tallied over eight
+bytes at groups of `rows` positions. Two texts meeting in a list are tallied over sixteen
 further positional bytes, and only pairs with the minimum number of matches are kept and
 verified on the texts themselves.
 """
@@ -28,14 +28,14 @@ from grainfold.session import written
 @dataclass(frozen=True)
 class Similarity:
     """run: words in a run; at_least: similarity of the sets of runs; min_words: shorter texts
-    take no part; rows x bands positional bytes; matches: least tally out of 8."""
+    take no part; rows x bands positional bytes; matches: least tally out of 16."""
 
     run: int = 5
     at_least: Fraction = Fraction(8, 10)
     min_words: int = 5
     rows: int = 3
-    bands: int = 32
-    matches: int = 4
+    bands: int = 28
+    matches: int = 7
     #: Posting lists longer than this are tallied block against block in separate tasks.
     block: int = 8192
 
@@ -59,12 +59,13 @@ def _signatures(words: np.ndarray, counts: np.ndarray, s: Similarity) -> np.ndar
     return out
 
 
-_POSTING = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("tally", pa.int64())])
-_EVENT = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("tally", pa.int64()), ("block", pa.int32())])
+_TALLY = 16  # positional bytes that go with each posting, as two whole numbers
+_POSTING = pa.schema([(c, pa.int64()) for c in ("key", "doc", "t1", "t2")])
+_EVENT = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("a", "b", "t1", "t2")), ("block", pa.int32())])
 
 
 def postings(texts: DataFrame, s: Similarity) -> DataFrame:
-    """(key, doc, tally): the lists each distinct text stands in. doc is the hash of its words."""
+    """(key, doc, t1, t2): the lists each distinct text stands in. doc is the hash of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -85,19 +86,19 @@ def postings(texts: DataFrame, s: Similarity) -> DataFrame:
                     continue
                 words, counts, doc = words[np.repeat(new, counts)], counts[new], doc[new]
                 sig = _signatures(words, counts, s)
-                wide = np.concatenate([sig, sig[:, : s.rows + 8]], axis=1)
+                wide = np.concatenate([sig, sig[:, : s.rows + _TALLY]], axis=1)
                 n = len(doc)
-                key, tally = np.empty((s.bands, n), np.int64), np.empty((s.bands, n), np.int64)
+                key, tally = np.empty((s.bands, n), np.int64), np.empty((s.bands, n, 2), np.int64)
                 for g in range(s.bands):
                     k = np.full(n, g, dtype=np.int64)
                     for j in range(s.rows):
                         k = (k << 8) | sig[:, g * s.rows + j]
                     key[g] = k
                     at = (g + 1) * s.rows
-                    tally[g] = np.ascontiguousarray(wide[:, at : at + 8]).view(np.int64)[:, 0]
-                yield pa.record_batch([pa.array(key.ravel()), pa.array(np.tile(doc, s.bands)), pa.array(tally.ravel())], schema=_POSTING)
+                    tally[g] = np.ascontiguousarray(wide[:, at : at + _TALLY]).view(np.int64)
+                yield pa.record_batch([pa.array(key.ravel()), pa.array(np.tile(doc, s.bands)), pa.array(tally[:, :, 0].ravel()), pa.array(tally[:, :, 1].ravel())], schema=_POSTING)
 
-    return texts.mapInArrow(run, "key bigint, doc bigint, tally bigint")
+    return texts.mapInArrow(run, "key bigint, doc bigint, t1 bigint, t2 bigint")
 
 
 def _matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -110,18 +111,18 @@ def _matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return ((ones * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
 
 
-def _tally_lists(key: np.ndarray, doc: np.ndarray, tally: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _tally_lists(key: np.ndarray, doc: np.ndarray, t1: np.ndarray, t2: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of each list with at least `least` matches. Input sorted by (key, doc)."""
     keep = np.ones(len(key), dtype=bool)
     keep[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-    key, doc, tally = key[keep], doc[keep], tally[keep]
+    key, doc, t1, t2 = key[keep], doc[keep], t1[keep], t2[keep]
     left, right = [], []
     at = np.arange(len(key) - 1) if len(key) > 1 else np.zeros(0, dtype=np.int64)
     step = 1
     while len(at):
         at = at[at + step < len(key)]
         at = at[key[at + step] == key[at]]
-        hit = at[_matches(tally[at], tally[at + step]) >= least]
+        hit = at[_matches(t1[at], t1[at + step]) + _matches(t2[at], t2[at + step]) >= least]
         left.append(doc[hit])
         right.append(doc[hit + step])
         step += 1
@@ -130,74 +131,72 @@ def _tally_lists(key: np.ndarray, doc: np.ndarray, tally: np.ndarray, least: int
     return np.concatenate(left), np.concatenate(right)
 
 
-def _events(kind: int, a: np.ndarray, b: np.ndarray, tally: np.ndarray | None = None, block: int = 0) -> pa.RecordBatch:
+def _events(kind: int, a: np.ndarray, b: np.ndarray, t1: np.ndarray | None = None, t2: np.ndarray | None = None, block: int = 0) -> pa.RecordBatch:
     n = len(a)
-    return pa.record_batch([pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b), pa.array(np.zeros(n, np.int64) if tally is None else tally), pa.array(np.full(n, block, np.int32))], schema=_EVENT)
+    tallies = [pa.array(np.zeros(n, np.int64) if t is None else t) for t in (t1, t2)]
+    return pa.record_batch([pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b), *tallies, pa.array(np.full(n, block, np.int32))], schema=_EVENT)
 
 
 def candidates(lists: DataFrame, s: Similarity) -> DataFrame:
     """(a, b), a < b, distinct: pairs retained by the tally, from all lists whatever their length."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, doc, tally = (np.zeros(0, np.int64) for _ in range(3))
+        held = [np.zeros(0, np.int64) for _ in range(4)]  # key, doc, t1, t2 not yet dealt with
         hot, block = None, 0
+
+        def take(n: int) -> list[np.ndarray]:
+            nonlocal held
+            out, held = [x[:n] for x in held], [x[n:] for x in held]
+            return out
+
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            key, doc, tally = (np.concatenate(x) for x in zip((key, doc, tally), cols))
-            while len(key):
-                if hot is not None:  # the rest of a long list
+            held = [np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip(held, batch.columns)]
+            while len(held[0]):
+                key = held[0]
+                if hot is not None:  # the rest of a long list goes out block by block
                     end = int(np.searchsorted(key, hot, side="right"))
                     if end == len(key) and end < s.block:
                         break
-                    end = min(end, s.block)
                     if end:
-                        yield _events(1, key[:end], doc[:end], tally[:end], block)
+                        yield _events(1, *take(min(end, s.block)), block=block)
                         block += 1
-                    key, doc, tally = key[end:], doc[end:], tally[end:]
-                    if len(key) and key[0] != hot:
+                    elif len(key):
                         hot, block = None, 0
                     continue
                 last = int(np.searchsorted(key, key[-1]))
-                sizes_end = len(key) - last
-                if last:
-                    starts = np.flatnonzero(np.r_[True, key[1:last] != key[: last - 1]])
-                    sizes = np.diff(np.r_[starts, last])
-                    long_ = np.flatnonzero(sizes > s.block)
-                    stop = int(starts[long_[0]]) if len(long_) else last
-                    if stop:
-                        a, b = _tally_lists(key[:stop], doc[:stop], tally[:stop], s.matches)
-                        if len(a):
-                            yield _events(0, a, b)
-                    key, doc, tally = key[stop:], doc[stop:], tally[stop:]
-                    if len(long_):
-                        hot = key[0]
-                        continue
-                if sizes_end > s.block:
-                    hot = key[0]
-                    continue
-                break
-        if len(key):
-            if hot is not None:
-                yield _events(1, key, doc, tally, block)
+                starts = np.append(np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key))
+                long_ = np.flatnonzero(np.diff(starts) > s.block)
+                stop = min(last, int(starts[long_[0]])) if len(long_) else last
+                if stop:
+                    a, b = _tally_lists(*take(stop), s.matches)
+                    if len(a):
+                        yield _events(0, a, b)
+                if not len(long_):
+                    break
+                hot = held[0][0]
+        if len(held[0]):
+            if hot is not None and held[0][0] == hot:
+                yield _events(1, *held, block=block)
             else:
-                a, b = _tally_lists(key, doc, tally, s.matches)
+                a, b = _tally_lists(*held, s.matches)
                 if len(a):
                     yield _events(0, a, b)
 
-    events = written(lists.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(scan, "kind int, a bigint, b bigint, tally bigint, block int"), "tally")
-    long_lists = events.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("doc"), "tally", "block")
+    events = written(lists.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(scan, "kind int, a bigint, b bigint, t1 bigint, t2 bigint, block int"), "tally")
+    long_lists = events.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("doc"), "t1", "t2", "block")
     blocks = long_lists.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
     spread = long_lists.join(blocks, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "tally")
+    spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "t1", "t2")
 
-    def cross(_, pdf: pd.DataFrame) -> pd.DataFrame:
+    def cross(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         x = pdf[pdf["block"] == i]
         y = x if i == j else pdf[pdf["block"] == j]
-        xd, xt, yd, yt = x["doc"].to_numpy(), x["tally"].to_numpy(), y["doc"].to_numpy(), y["tally"].to_numpy()
+        (xd, x1, x2), (yd, y1, y2) = ([f[c].to_numpy() for c in ("doc", "t1", "t2")] for f in (x, y))
         left, right = [], []
-        for d, t in zip(xd, xt):
-            hit = np.flatnonzero((_matches(np.full(len(yt), t), yt) >= s.matches) & ((yd > d) if i == j else (yd != d)))
+        for d, t, u in zip(xd, x1, x2):
+            enough = _matches(np.full(len(y1), t), y1) + _matches(np.full(len(y2), u), y2) >= s.matches
+            hit = np.flatnonzero(enough & ((yd > d) if i == j else (yd != d)))
             left.append(np.minimum(yd[hit], d))
             right.append(np.maximum(yd[hit], d))
         none = np.zeros(0, np.int64)
