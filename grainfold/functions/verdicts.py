@@ -23,7 +23,11 @@ def related(n_true: Column, n_open: Column, n: Column, force: bool = False) -> C
     Mean above one half is TRUE, below is FALSE; a tie, or no answer at all, is undecided
     with confidence 0.5, and FALSE where a decision is forced (no answer stays undecided).
     """
-    twice = n_true * 2 + n_open
+    return related_twice(n_true * 2 + n_open, n, force)
+
+
+def related_twice(twice: Column, n: Column, force: bool = False) -> Column:
+    """The same from 2 * true + open answers."""
     r = twice.cast("double") / (n * 2)
     tie = F.lit(False) if force else F.lit(None).cast("boolean")
     direction = F.when(n == 0, F.lit(None).cast("boolean")).when(twice > n, True).when(twice < n, False).otherwise(tie)

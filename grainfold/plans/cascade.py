@@ -33,6 +33,12 @@ class CascadePlan:
         return {n: F.col(f"known_{n}") for n in self.leaves}
 
 
+def _kept_above(c: Column) -> Column:
+    """The column itself, in a form through which the optimiser does not push filters: pushed
+    below the steps, a filter on an answer would repeat the whole cascade inside itself."""
+    return F.when(F.rand() >= 0, c)
+
+
 def _prepared(df: DataFrame, plan: CascadePlan) -> DataFrame:
     for n in plan.leaves:
         for col, null in ((f"known_{n}", F.lit(None).cast("boolean")), (f"start_{n}", F.lit(0)), (f"conf_{n}", F.lit(None).cast("double")), (f"tier_{n}", F.lit(None).cast("int"))):
@@ -47,7 +53,9 @@ def one_plan(df: DataFrame, plan: CascadePlan, source: WordQuestions) -> DataFra
     Adds known_, conf_, tier_ per leaf, calls_t<tier> (judgements made at each tier) and
     `answer`, the root. A judgement is only counted, and only used, where it is needed.
     """
-    df = _prepared(df, plan)
+    # The text in lower case and each count of answers are columns of their own, so that
+    # they are computed once however often the verdict refers to them.
+    df = _prepared(df, plan).withColumn("__low", F.lower(F.col(source.text)))
     tiers = sorted({s.tier for n in plan.leaves for s in plan.config.route(plan.kinds[n])})
     for t in tiers:
         df = df.withColumn(f"calls_t{t}", F.lit(0))
@@ -58,7 +66,8 @@ def one_plan(df: DataFrame, plan: CascadePlan, source: WordQuestions) -> DataFra
                 continue
             step, force = route[s], s == len(route) - 1
             todo = needed(plan.tree, plan.known())[n] & (F.lit(s) >= F.col(f"start_{n}"))
-            df = df.withColumn("__todo", todo).withColumn("__v", F.when(F.col("__todo"), source.verdict(n, step, force)))
+            df = df.withColumn("__todo", todo).withColumn("__twice", F.when(F.col("__todo"), source.twice(n, step.tier, F.col("__low"))))
+            df = df.withColumn("__v", F.when(F.col("__todo"), source.verdict(n, step, force, F.col("__twice"))))
             settled = gate(F.col("__v.direction"), F.col("__v.confidence"), F.lit(plan.config.tau(n, plan.kinds[n], step.tier)), force)
             df = df.withColumns({
                 f"known_{n}": F.when(F.col("__todo"), settled).otherwise(F.col(f"known_{n}")),
@@ -66,7 +75,8 @@ def one_plan(df: DataFrame, plan: CascadePlan, source: WordQuestions) -> DataFra
                 f"tier_{n}": F.when(F.col("__todo"), F.lit(step.tier)).otherwise(F.col(f"tier_{n}")),
                 f"calls_t{step.tier}": F.col(f"calls_t{step.tier}") + F.col("__todo").cast("int"),
             })
-    return df.withColumn("answer", fold(plan.tree, plan.known())).drop("__todo", "__v")
+    df = df.withColumn("answer", fold(plan.tree, plan.known())).drop("__todo", "__twice", "__v", "__low")
+    return df.withColumns({c: _kept_above(F.col(c)) for c in ("answer", *(f"{k}_{n}" for n in plan.leaves for k in ("known", "tier")))})
 
 
 @dataclass(frozen=True)

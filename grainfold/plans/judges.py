@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainfold.functions.verdicts import related
+from grainfold.functions.verdicts import related_twice
 from grainfold.plans.specs import Step
 
 ANSWER = "direction boolean, confidence double, cost double"
@@ -37,22 +37,25 @@ class WordQuestions:
     text: str = "review_text"
     cost: Mapping[int, float] = None
 
-    def answers(self, slug: str, tier: int) -> list[Column]:
-        low = F.lower(F.col(self.text))
+    def answers(self, slug: str, tier: int, low: Column | None = None) -> list[Column]:
+        """Nullable booleans; `low` is the text in lower case, if it is at hand."""
+        low = F.lower(F.col(self.text)) if low is None else low
         return [reduce(or_, [F.contains(low, F.lit(w)) for w in g]) for g in self.groups[slug][: self.by_tier[tier]]]
 
-    def verdict(self, slug: str, step: Step, force: bool) -> Column:
-        qs = self.answers(slug, step.tier)
-        true = reduce(lambda a, b: a + b, [F.when(q, 1).otherwise(0) for q in qs])
-        open_ = reduce(lambda a, b: a + b, [F.when(q.isNull(), 1).otherwise(0) for q in qs])
-        return related(true, open_, F.lit(len(qs)), force)
+    def twice(self, slug: str, tier: int, low: Column | None = None) -> Column:
+        """2 * TRUE + undecided answers, one pass over the questions."""
+        return reduce(lambda a, b: a + b, [F.when(q.isNull(), 1).when(q, 2).otherwise(0) for q in self.answers(slug, tier, low)])
+
+    def verdict(self, slug: str, step: Step, force: bool, twice: Column | None = None) -> Column:
+        twice = self.twice(slug, step.tier) if twice is None else twice
+        return related_twice(twice, F.lit(self.by_tier[step.tier]), force)
 
     def price(self, step: Step) -> float:
         return (self.cost or {}).get(step.tier, float(self.by_tier[step.tier]))
 
     def answer(self, todo: DataFrame, key: str, slug: str, step: Step, force: bool) -> DataFrame:
-        v = self.verdict(slug, step, force)
-        return todo.select(key, v.alias("v")).select(key, "v.direction", "v.confidence", F.lit(self.price(step)).alias("cost"))
+        v = self.verdict(slug, step, force, F.col("twice"))
+        return todo.select(key, self.twice(slug, step.tier).alias("twice")).select(key, v.alias("v")).select(key, "v.direction", "v.confidence", F.lit(self.price(step)).alias("cost"))
 
 
 @dataclass(frozen=True)
