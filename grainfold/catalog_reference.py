@@ -20,7 +20,7 @@ from grainfold.plans import tags
 from grainfold.plans.cascade import CascadePlan, kill_rates, one_plan, read_rates, staged
 from grainfold.plans.judges import RecordedSource, VectorSource, WordQuestions
 from grainfold.plans.specs import CascadeConfig, Step, single_stage, text_only, trim_routes
-from grainfold.session import table
+from grainfold.session import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -558,7 +558,8 @@ def _cells(s, d) -> DataFrame:
     rows = tags.with_cached(reviews(s, d, "review_text"), snap(s, d), POS, POS, tags.EXACT, FULL).withColumn("cached", F.col(f"known_{POS}")).withColumn(f"start_{POS}", F.lit(0))
     # The first leaf is settled whole before the second is asked: one predicate after the other.
     first = one_plan(rows, CascadePlan(logic.parse(POS), KIND, CONFIG), JUDGE).drop("answer", *[f"calls_t{t}" for t in (1, 2, 3)])
-    return one_plan(first, CascadePlan(logic.parse(f"{POS} AND {ACT}"), KIND, CONFIG), JUDGE)
+    both = one_plan(first, CascadePlan(logic.parse(f"{POS} AND {ACT}"), KIND, CONFIG), JUDGE)
+    return written(both.select("parent_asin", "cached", *[f"{k}_{n}" for k in ("known", "tier") for n in (POS, ACT)]).toDF("parent_asin", "cached", "known_p", "known_a", "tier_p", "tier_a"), "cells").withColumnsRenamed({"known_p": f"known_{POS}", "known_a": f"known_{ACT}", "tier_p": f"tier_{POS}", "tier_a": f"tier_{ACT}"})
 
 
 @query("cell_classes", _CELLS + f""" SELECT '{POS}' AS predicate, CASE WHEN cached IS NOT NULL THEN 'reused' ELSE 'settled' END AS class, count(*) AS n FROM r GROUP BY 1, 2
@@ -811,7 +812,8 @@ def metric_kendall(s, d):
 def q1(s, d):
     """Five clearly positive reviews of any movie: positive, and not negative."""
     c = one_plan(_cascade(s, d, POS).drop("answer", *[f"calls_t{t}" for t in (1, 2, 3)]), plan(NEG), JUDGE)
-    return c.where(F.col(f"known_{POS}") & ~F.col(f"known_{NEG}")).select("parent_asin").orderBy("parent_asin").limit(5)
+    best = F.when(F.col(f"known_{POS}") & ~F.col(f"known_{NEG}"), F.col("parent_asin"))
+    return c.select(best.alias("parent_asin")).orderBy(F.col("parent_asin").asc_nulls_last()).limit(5).where("parent_asin IS NOT NULL")
 
 
 @query("q2", f"WITH t AS ({_tags_sql(_MOVIE_A)}) SELECT parent_asin FROM t WHERE tag ORDER BY parent_asin LIMIT 5")

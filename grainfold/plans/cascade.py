@@ -33,12 +33,6 @@ class CascadePlan:
         return {n: F.col(f"known_{n}") for n in self.leaves}
 
 
-def _kept_above(c: Column) -> Column:
-    """The column itself, in a form through which the optimiser does not push filters: pushed
-    below the steps, a filter on an answer would repeat the whole cascade inside itself."""
-    return F.when(F.rand() >= 0, c)
-
-
 def _prepared(df: DataFrame, plan: CascadePlan) -> DataFrame:
     for n in plan.leaves:
         for col, null in ((f"known_{n}", F.lit(None).cast("boolean")), (f"start_{n}", F.lit(0)), (f"conf_{n}", F.lit(None).cast("double")), (f"tier_{n}", F.lit(None).cast("int"))):
@@ -52,6 +46,8 @@ def one_plan(df: DataFrame, plan: CascadePlan, source: WordQuestions) -> DataFra
 
     Adds known_, conf_, tier_ per leaf, calls_t<tier> (judgements made at each tier) and
     `answer`, the root. A judgement is only counted, and only used, where it is needed.
+    To filter on an answer, store the result first (session.written) or order by it: a
+    filter pushed below the steps would repeat the whole cascade inside itself.
     """
     # The text in lower case and each count of answers are columns of their own, so that
     # they are computed once however often the verdict refers to them.
@@ -75,8 +71,7 @@ def one_plan(df: DataFrame, plan: CascadePlan, source: WordQuestions) -> DataFra
                 f"tier_{n}": F.when(F.col("__todo"), F.lit(step.tier)).otherwise(F.col(f"tier_{n}")),
                 f"calls_t{step.tier}": F.col(f"calls_t{step.tier}") + F.col("__todo").cast("int"),
             })
-    df = df.withColumn("answer", fold(plan.tree, plan.known())).drop("__todo", "__twice", "__v", "__low")
-    return df.withColumns({c: _kept_above(F.col(c)) for c in ("answer", *(f"{k}_{n}" for n in plan.leaves for k in ("known", "tier")))})
+    return df.withColumn("answer", fold(plan.tree, plan.known())).drop("__todo", "__twice", "__v", "__low")
 
 
 @dataclass(frozen=True)
