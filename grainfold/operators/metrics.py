@@ -14,7 +14,7 @@ def retrieval(system: DataFrame, truth: DataFrame, key: str, k: int | None, orde
     Recall counts against min(k, size of truth). An empty answer has precision 1 if nothing
     was to be found; f1 is 0 where either is empty.
     """
-    first = system.orderBy(*order).limit(k) if k is not None else system
+    first = system.orderBy(*(order or [F.col(key)])).limit(k) if k is not None else system
     s, t = first.select(key).distinct(), truth.select(key).distinct()
     both = s.withColumn("s", F.lit(1)).join(t.withColumn("t", F.lit(1)), key, "full_outer")
     n = both.agg(F.count("s").alias("ns"), F.count("t").alias("nt"), F.count_if(F.col("s").isNotNull() & F.col("t").isNotNull()).alias("hit"))
