@@ -151,3 +151,36 @@ SELECT m.id IS NOT NULL AS known, count(*) AS left_rows, count(m.id) AS join_row
   count(*) FILTER (WHERE ok) AS conf_n, count(*) FILTER (WHERE ok AND m.id IS NOT NULL) AS conf_join_n
 FROM r LEFT JOIN movies m ON m.id = r.id GROUP BY 1""",
 }
+
+
+def _p2_sql() -> str:
+    """Plain segmentation: names that hold a separator are matched first, then runs without one."""
+    marks = "\\s\"''“”‘’«»„`\\[\\](){}"
+    return f"""WITH n AS (SELECT string_agg(regexp_replace(genre_name, '([+.])', '\\\\\\1', 'g'), '|' ORDER BY length(genre_name) DESC) AS p FROM genre_names WHERE regexp_matches(genre_name, '[,;|/&]')),
+v AS (SELECT id, list_filter(list_transform(regexp_extract_all(genre, '(?i)[{marks}]*(?:' || p || ')[{marks}]*(?:$|[,;|/&\\t\\n\\r·•，；、])|[^,;|/&\\t\\n\\r·•，；、]+'),
+    lambda x: regexp_replace(regexp_replace(x, '^[{marks}]+', ''), '[{marks},;|/&·•，；、]+$', '')), lambda x: x <> '') AS l FROM movies, n WHERE genre IS NOT NULL)
+SELECT id, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS pos, unnest(l) AS genre FROM v"""
+
+
+def _p3_sql() -> str:
+    words = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "twelve": 12, "twenty": 20, "one hundred": 100, "a hundred": 100, "hundred": 100}
+    num = f"(\\d+(?:[.,]\\d+)?|(?:{'|'.join(sorted(words, key=len, reverse=True))})(?: and a half)?)"
+    cases = " ".join(f"WHEN '{w}' THEN {n * 100}" for w, n in words.items())
+    val = lambda x: f"CASE WHEN regexp_matches({x}, '^\\d') THEN CAST(CAST(replace({x}, ',', '.') AS DECIMAL(18,2)) * 100 AS BIGINT) ELSE CASE replace({x}, ' and a half', '') {cases} END + CASE WHEN {x} LIKE '% and a half' THEN 50 ELSE 0 END END"
+    unit, link, in_text = "(?: ?(?:stars?|points?|pts?))?", " ?(?:/|out of|of a possible|on a scale of|of|sur|von) ?", " ?(?:/|out of|of a possible|on a scale of|sur|von) ?"
+    ratio, share, bare = f"^{num}{unit}{link}{num}{unit}$", f"^{num} ?(?:%|pct|percent|per cent)$", f"^{num}{unit}$"
+    at = lambda c, p, i: f"regexp_extract({c}, '{p}', {i})"
+    return f"""WITH r AS (SELECT parent_asin, outlet, trim(regexp_replace(regexp_replace(trim(lower(original_score)), '\\s+', ' ', 'g'), '^(rating|grade|score) ?: ?|[()]', '', 'g')) AS q,
+    regexp_replace(regexp_replace(lower(review_text), '[*_\\x{{200B}}]', '', 'g'), '\\s+', ' ', 'g') AS t FROM movie_reviews WHERE original_score IS NOT NULL),
+k AS (SELECT *, CASE WHEN regexp_full_match(q, '[★½☆]+') THEN 'stars' WHEN regexp_matches(q, '^[a-z] ?(\\+|-|plus|minus)?$') THEN 'grade' WHEN regexp_matches(q, '{ratio}') THEN 'ratio' WHEN regexp_matches(q, '{share}') THEN 'share' WHEN regexp_matches(q, '{bare}') THEN 'bare' END AS kind FROM r),
+v AS (SELECT k.parent_asin, k.t, o.score_max, kind,
+  CASE kind WHEN 'stars' THEN 100 * (length(q) - length(replace(q, '★', ''))) + 50 * (length(q) - length(replace(q, '½', ''))) WHEN 'grade' THEN 100 * g.pct WHEN 'ratio' THEN {val(at("q", ratio, 1))} WHEN 'share' THEN {val(at("q", share, 1))} WHEN 'bare' THEN {val(at("q", bare, 1))} END AS v,
+  CASE kind WHEN 'stars' THEN 100 * length(q) WHEN 'grade' THEN 10000 WHEN 'ratio' THEN {val(at("q", ratio, 2))} WHEN 'share' THEN 10000 END AS s
+  FROM k LEFT JOIN outlets o ON o.outlet = k.outlet LEFT JOIN grade_scale g ON kind = 'grade' AND g.grade = upper(replace(replace(replace(q, ' ', ''), 'plus', '+'), 'minus', '-'))),
+m AS (SELECT parent_asin, v, CASE WHEN kind = 'bare' THEN coalesce(list_filter(list_transform(regexp_extract_all(t, '\\b{num}{unit}{in_text}{num}\\b'),
+    lambda x: {{'a': {val(at("x", "^" + num, 1))}, 'b': {val(at("x", in_text + num + "$", 1))}}}), lambda x: x.a = v)[1].b, 100 * score_max) ELSE s END AS s FROM v)
+SELECT parent_asin, CAST((2000 * v + s) // (2 * s) AS INTEGER) AS score_1000 FROM m WHERE s > 0 AND v <= s AND v >= 0"""
+
+
+SQL["p2_found"] = _p2_sql()
+SQL["p3_found"] = _p3_sql()
