@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grainfold.llm import tokens
 
@@ -219,7 +220,19 @@ def split_texts(docs: DataFrame, doc_id: Column, text: Column, s: Split = Split(
     one piece. Null and empty texts give no piece; doc_id must be unique and not null;
     ties and repeated texts change nothing; further columns are not read.
     """
-    parts = ranges(docs, doc_id, text, s)
+    path = s.file()
+
+    @F.pandas_udf(T.IntegerType())
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        e = tokens.encoding(path)
+        for own in batches:
+            yield own.map(lambda t: len(e.encode_ordinary(t)))
+
+    every = ranges(docs, doc_id, text, s)
+    # A text of at most `limit` bytes has no more tokens than that: one piece, never moved.
+    short = (F.col("part") == 0) & (F.octet_length("body") <= s.limit) & (F.length("body") <= s.range_chars)
+    small = every.where(short).select("doc_id", F.lit(1).alias("piece"), F.lit(0).cast("bigint").alias("first"), F.length("body").cast("bigint").alias("last"), count("body").alias("tokens"), "body")
+    parts = every.where(~short)
     table = boundary_table(parts, s)
     pieces = piece_table(table, s)
     touched = pieces.withColumn("part", F.explode(F.sequence((F.col("first") / s.range_chars).cast("int"), ((F.col("last") - 1) / s.range_chars).cast("int"))))
@@ -231,4 +244,4 @@ def split_texts(docs: DataFrame, doc_id: Column, text: Column, s: Split = Split(
     one = F.floor(F.col("first") / s.range_chars) == F.floor((F.col("last") - 1) / s.range_chars)
     alone = joined.where(one).select("doc_id", "piece", "first", "last", "tokens", F.col("bit").alias("body"))
     several = joined.where(~one).groupBy("doc_id", "piece", "first", "last", "tokens").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "bit"))), lambda x: x["bit"]), "").alias("body"))
-    return alone.unionByName(several)
+    return alone.unionByName(several).unionByName(small)
