@@ -131,6 +131,8 @@ def boundary_table(parts: DataFrame, s: Split) -> DataFrame:
                     off, cnt, kind, n = (), (), (), len(e.encode_ordinary(own))  # cannot exceed the limit: never cut
                 else:
                     off, cnt, kind, n = boundaries(own, e, lengths, max(1, (s.limit - s.overlap) // 4))
+                    if n <= s.limit and part == 0 and len(body) <= s.range_chars:
+                        off, cnt, kind = (), (), ()  # one range within the limit: never cut
                 rows.append((d, part, base, len(own), n, off, cnt, kind))
             cols = list(zip(*rows)) or [()] * 8
             yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(cols, schema)], schema=schema)
