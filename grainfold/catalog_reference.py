@@ -669,6 +669,37 @@ def semantic_join_baseline(s, d):
     return j.agg(F.count_if(F.col("ta") == F.col("tb")).alias("n_same"), F.count_if(F.col("ta") != F.col("tb")).alias("n_opposite"), F.count(F.lit(1)).alias("judged"))
 
 
+# The same for every movie, whatever its size: no pairs are listed but the ten asked for.
+_ALL_TAGS = f"SELECT {_MID} AS mid, parent_asin, {_dir(POS, 6, True)} AS tag, {_conf(POS, 6)} AS conf FROM movie_reviews WHERE {_MID} IS NOT NULL"
+
+
+def _all_tagged(s, d) -> DataFrame:
+    v = JUDGE.verdict(POS, Step(3), True)
+    r = reviews(s, d, "id", "review_text").select("parent_asin", key_text("id").alias("id"), v.alias("v")).where("id IS NOT NULL")
+    return r.select("id", "parent_asin", F.col("v.direction").alias("tag"), F.col("v.confidence").alias("conf"))
+
+
+@query("pair_partners", f"""WITH t AS ({_ALL_TAGS}) SELECT mid AS id, parent_asin, tag, count(*) OVER (PARTITION BY mid, tag) - 1 AS n_same,
+ count(*) OVER (PARTITION BY mid) - count(*) OVER (PARTITION BY mid, tag) AS n_opposite FROM t""")
+def pair_partners(s, d):
+    return relational.pair_partners(_all_tagged(s, d), "id", "parent_asin", "tag")
+
+
+def _first_pairs_sql(op: str, order: str) -> str:
+    return f"""WITH t AS ({_ALL_TAGS}), p AS (SELECT a.mid, a.parent_asin AS rid1, b.parent_asin AS rid2, least(a.conf, b.conf) AS pair_conf
+ FROM t a JOIN t b ON a.mid = b.mid AND a.parent_asin < b.parent_asin AND a.tag {op} b.tag), q AS (SELECT *, row_number() OVER (PARTITION BY rid1 ORDER BY rid2) AS rn FROM p)
+SELECT mid AS id, rid1, rid2, CAST(row_number() OVER (PARTITION BY mid ORDER BY {order}) AS INTEGER) AS place FROM q QUALIFY place <= 10"""
+
+
+def _first_pairs(same: bool, conf: str | None) -> Query:
+    return lambda s, d: relational.first_pairs(_all_tagged(s, d), "id", "parent_asin", "tag", conf, same).select("id", "rid1", "rid2", "place")
+
+
+query("first_pairs_same_id", _first_pairs_sql("=", "rn, rid1, rid2"))(_first_pairs(True, None))
+query("first_pairs_opposite_id", _first_pairs_sql("<>", "rn, rid1, rid2"))(_first_pairs(False, None))
+query("first_pairs_opposite_conf", _first_pairs_sql("<>", "pair_conf DESC, rn, rid1, rid2"))(_first_pairs(False, "conf"))
+
+
 @query("tri_state_counts", f"""SELECT {_MID} AS id, count(*) FILTER (WHERE tag_is_a_positive_review) AS n_true, count(*) FILTER (WHERE NOT tag_is_a_positive_review) AS n_false,
  count(*) FILTER (WHERE tag_is_a_positive_review IS NULL) AS n_open, count(*) AS n FROM movie_reviews WHERE {_MID} IS NOT NULL GROUP BY 1""")
 def tri_state_counts(s, d):
@@ -780,6 +811,23 @@ def metric_pairs(s, d):
     return metrics.retrieval(pairs("sys"), pairs("gold"), "pair", None)
 
 
+@query("metric_pairs_by_movie", f"""WITH t AS (SELECT {_MID} AS id, parent_asin AS k, {_GOLD} AS g, {_dir(POS, 6, True)} AS s FROM movie_reviews WHERE {_MID} IS NOT NULL),
+p AS (SELECT a.id, a.s <> b.s AS s, a.g <> b.g AS g FROM t a JOIN t b ON a.id = b.id AND a.k < b.k), c AS (SELECT id, count(*) FILTER (WHERE s) AS ns, count(*) FILTER (WHERE g) AS nt, count(*) FILTER (WHERE s AND g) AS hit FROM p GROUP BY id),
+n AS (SELECT i.id, coalesce(ns, 0) AS ns, coalesce(nt, 0) AS nt, coalesce(hit, 0) AS hit FROM (SELECT DISTINCT id FROM t) i LEFT JOIN c ON c.id = i.id),
+m AS (SELECT id, CASE WHEN ns = 0 THEN CASE WHEN nt = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE CAST(hit AS DOUBLE) / ns END AS precision, CASE WHEN nt = 0 THEN 0.0::DOUBLE ELSE CAST(hit AS DOUBLE) / nt END AS recall, ns, nt FROM n)
+SELECT id, precision, recall, CASE WHEN ns = 0 OR nt = 0 OR precision + recall = 0 THEN 0.0::DOUBLE ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM m""")
+def metric_pairs_by_movie(s, d):
+    """metric_pairs of every movie, from products of class counts."""
+    r = _gold(s, d).select(key_text("id").alias("id"), "gold", "sys").where("id IS NOT NULL")
+    cell = {f"{a}{b}": F.count_if((F.col("sys") == (a == "t")) & (F.col("gold") == (b == "t"))) for a in "tf" for b in "tf"}
+    n = r.groupBy("id").agg(*[v.alias(k) for k, v in cell.items()], F.count_if("sys").alias("st"), F.count_if(~F.col("sys")).alias("sf"))
+    n = n.select("id", F.expr("st * sf").alias("ns"), F.expr("(tt + ft) * (tf + ff)").alias("nt"), F.expr("tt * ff + tf * ft").alias("hit"))
+    ns, nt, hit = (F.col(c) for c in ("ns", "nt", "hit"))
+    n = n.select("id", "ns", "nt", F.when(ns == 0, (nt == 0).cast("double")).otherwise(hit.cast("double") / ns).alias("precision"), F.when(nt == 0, 0.0).otherwise(hit.cast("double") / nt).alias("recall"))
+    p, q = F.col("precision"), F.col("recall")
+    return n.select("id", p, q, F.when((ns == 0) | (nt == 0) | (p + q == 0), 0.0).otherwise(2 * p * q / (p + q)).alias("f1"))
+
+
 _XY = f"""xy AS (SELECT m.audience_score AS x, g.n AS y FROM movies m JOIN (SELECT {_MID} AS mid, CAST(100 * count(*) FILTER (WHERE {_dir(POS, 6, True)}) // count(*) AS BIGINT) AS n FROM movie_reviews GROUP BY 1) g ON g.mid = m.id
  WHERE m.audience_score IS NOT NULL AND NOT isnan(m.audience_score))"""
 
@@ -849,6 +897,12 @@ def q9(s, d):
     return _tagged(s, d, 100).select("parent_asin", verdicts.score(F.col("tag"), F.col("conf"), F.lit(True)).alias("score"))
 
 
+@query("review_scores", f"WITH t AS ({_ALL_TAGS}) SELECT mid AS id, parent_asin, round(1.0::DOUBLE + 4.0::DOUBLE * CASE WHEN tag THEN conf ELSE 1.0::DOUBLE - conf END, 4) AS score FROM t")
+def review_scores(s, d):
+    """The score of q9 for every review of every movie."""
+    return _all_tagged(s, d).select("id", "parent_asin", verdicts.score(F.col("tag"), F.col("conf"), F.lit(True)).alias("score"))
+
+
 @query("q10", f"""WITH t AS (SELECT {_MID} AS id, CASE WHEN {_dir(POS, 6, True)} THEN {_conf(POS, 6)} ELSE 1.0::DOUBLE - {_conf(POS, 6)} END AS r FROM movie_reviews WHERE {_MID} IS NOT NULL)
 SELECT id, {_MEAN4} AS score FROM (SELECT id, CAST(round(round(1.0::DOUBLE + 4.0::DOUBLE * r, 4) * 10000) AS BIGINT) AS score FROM t) GROUP BY 1""")
 def q10(s, d):

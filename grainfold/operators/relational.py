@@ -64,6 +64,60 @@ def pair_rows(rows: DataFrame, group: str, key: str, tag: str, conf: str, same:
     return out.withColumn("rn", F.row_number().over(Window.partitionBy(group, "rid1").orderBy("rid2")))
 
 
+def first_pairs(rows: DataFrame, group: str, key: str, tag: str, conf: str | None, same: bool, most: int = 10) -> DataFrame:
+    """(group, rid1, rid2, pair_conf, rn, place): the first `most` rows of pair_rows in every
+    group, by pair_conf (if conf is given; descending), rn, rid1 and rid2, for groups of any size.
+
+    Pairs are not listed. `edge` is the highest confidence at which a group has `most` pairs:
+    fewer lie above it, and of those at it a row's partners stand at successive places of
+    their class (tag, confidence), so each row's next ones are looked up by place. Only the
+    `most` rows with the nearest partners can give one of the first pairs. Keys are unique.
+    """
+    c = F.coalesce(F.col(conf), F.lit(0.0)) if conf else F.lit(0.0)
+    r = written(rows.select(F.col(group).alias("g"), F.col(key).alias("rid"), F.col(tag).alias("tag"), c.alias("c")).where("g IS NOT NULL AND rid IS NOT NULL AND tag IS NOT NULL"), "pair_rows")
+    by_c = r.groupBy("g", "c").agg(F.count_if("tag").alias("t"), F.count_if(~F.col("tag")).alias("f"))
+    down = Window.partitionBy("g").orderBy(F.col("c").desc())
+    by_c = by_c.withColumn("t", F.sum("t").over(down)).withColumn("f", F.sum("f").over(down))
+    pairs = F.expr("t * (t - 1) div 2 + f * (f - 1) div 2" if same else "t * f")
+    edges = by_c.groupBy("g").agg(F.coalesce(F.max(F.when(pairs >= most, F.col("c"))), F.min("c")).alias("edge"))
+    up = Window.partitionBy("g").orderBy("rid").rowsBetween(Window.unboundedPreceding, 0)
+    r = r.join(edges, "g")
+    for kind, hit in (("all", F.lit(True)), ("ge", F.col("c") >= F.col("edge")), ("eq", F.col("c") == F.col("edge"))):
+        for name, side in (("t", F.col("tag")), ("f", ~F.col("tag"))):
+            r = r.withColumn(f"{kind}_{name}", F.sum((hit & side).cast("bigint")).over(up))
+    own = lambda kind: F.when(F.col("tag"), F.col(f"{kind}_t")).otherwise(F.col(f"{kind}_f"))
+    met = own if same else lambda kind: F.when(F.col("tag"), F.col(f"{kind}_f")).otherwise(F.col(f"{kind}_t"))
+    at = F.col("c") == F.col("edge")
+    placed = written(r.where("c >= edge").select(
+        "g", "rid", "c", "edge", "tag", (F.col("tag") if same else ~F.col("tag")).alias("met"), own("all").alias("of_all"), met("all").alias("met_all"),
+        F.when(at, "ge").otherwise("eq").alias("kind"), F.when(at, met("ge")).otherwise(met("eq")).alias("after"), own("ge").alias("ge"), own("eq").alias("eq")), "pair_places")
+    places = F.array(F.struct(F.lit("ge").alias("kind"), F.col("ge").alias("after")), F.when(at, F.struct(F.lit("eq").alias("kind"), F.col("eq").alias("after"))))
+    y = placed.select("g", F.col("tag").alias("met"), F.col("rid").alias("rid2"), F.col("of_all").alias("of2"), F.explode(F.filter(places, lambda x: x.isNotNull())).alias("x"))
+    y = y.select("g", "met", "rid2", "of2", "x.kind", F.col("x.after").alias("place"))
+    x = placed.select("g", "met", "kind", "after", "met_all", "edge", F.col("rid").alias("rid1"))
+    rn = (F.col("of2") - F.col("met_all")).alias("rn")
+    near = x.withColumn("place", F.col("after") + 1).join(y, ["g", "met", "kind", "place"]).select(*x.columns, rn)
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("rn", "rid1"))).where(F.col("n") <= most).drop("n", "rn")
+    steps = near.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(most)))).withColumn("place", F.col("after") + F.col("step"))
+    out = steps.join(y, ["g", "met", "kind", "place"]).select("g", "rid1", "rid2", F.col("edge").alias("pair_conf"), rn)
+    above = placed.where("c > edge")
+    a = above.select("g", "met", "met_all", F.col("rid").alias("rid1"), F.col("c").alias("c1"))
+    b = above.select("g", F.col("tag").alias("met"), F.col("rid").alias("rid2"), F.col("of_all").alias("of2"), F.col("c").alias("c2"))
+    few = a.join(b, ["g", "met"]).where("rid1 < rid2").select("g", "rid1", "rid2", F.least("c1", "c2").alias("pair_conf"), rn)
+    order = Window.partitionBy("g").orderBy(F.col("pair_conf").desc(), "rn", "rid1", "rid2")
+    out = out.unionByName(few).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return out.select(F.col("g").alias(group), "rid1", "rid2", "pair_conf", "rn", "place")
+
+
+def pair_partners(rows: DataFrame, group: str, key: str, tag: str) -> DataFrame:
+    """(group, key, tag, n_same, n_opposite): every row with its class and the numbers of its
+    partners. All pairs of a group follow from it: those of one class, those of two classes."""
+    r = rows.select(group, key, tag).where(F.col(group).isNotNull() & F.col(tag).isNotNull())
+    n = r.groupBy(group).agg(F.count_if(F.col(tag)).alias("__t"), F.count_if(~F.col(tag)).alias("__f"))
+    t, f = F.col("__t"), F.col("__f")
+    return r.join(n, group).select(group, key, tag, (F.when(F.col(tag), t).otherwise(f) - 1).alias("n_same"), F.when(F.col(tag), f).otherwise(t).alias("n_opposite"))
+
+
 def pair_counts(rows: DataFrame, group: str, tag: str) -> DataFrame:
     """(group, n_same, n_opposite): numbers of pairs, from one count per group and answer."""
     g = rows.groupBy(group).agg(F.count_if(F.col(tag)).alias("t"), F.count_if(~F.col(tag)).alias("f"))

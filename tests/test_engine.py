@@ -144,3 +144,22 @@ def test_entry_names_match():
 
     q, s = e.queries(), e.oracle_sql()
     assert set(s) <= set(q) and {"p1_found", "p2_found", "p3_found", "p7_found", "q10"} <= set(q)
+
+
+@pytest.mark.parametrize("confs", [[1.0], [0.5, 0.75, 1.0], [i / 400 for i in range(400)]])
+def test_first_pairs_of_every_group_equal_listed_pairs(spark, confs):
+    rng = random.Random(len(confs))
+    sizes = {"large": 160, "true": 30, "one": 1, "two": 2, "few": 5, "lone": 41}
+    rows = [(g, f"{g}{i:03d}", True if g == "true" else i == 17 if g == "lone" else rng.random() < 0.4, rng.choice(confs)) for g, n in sizes.items() for i in range(n)]
+    rows += [("few", "few9", None, 1.0), (None, "x", True, 1.0), ("two", "two9", True, None)]
+    df = spark.createDataFrame(rows, "g string, k string, t boolean, c double")
+    for same in (True, False):
+        listed = [tuple(r) for r in relational.pair_rows(df, "g", "k", "t", "c", same).select("g", "rid1", "rid2", "pair_conf", "rn").collect()]
+        for conf, order in ((None, lambda p: (p[4], p[1], p[2])), ("c", lambda p: (-p[3], p[4], p[1], p[2]))):
+            want = {(*p[:3], p[4], n) for g in sizes for n, p in enumerate(sorted((p for p in listed if p[0] == g), key=order)[:10], 1)}
+            got = [(r.g, r.rid1, r.rid2, r.rn, r.place) for r in relational.first_pairs(df, "g", "k", "t", conf, same).collect()]
+            assert set(got) == want and len(got) == len(want) > 20
+        partners = {(r.g, r.k): r for r in relational.pair_partners(df, "g", "k", "t").collect()}
+        assert len(partners) == len(rows) - 2
+        n = "n_same" if same else "n_opposite"
+        assert sum(r[n] for r in partners.values()) == 2 * len(listed)
