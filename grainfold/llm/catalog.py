@@ -50,14 +50,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(reviews, key_text("id"), conf, F.col("parent_asin"), 5).select(F.col("grp").alias("id"), "rnk", F.col("item").alias("parent_asin"))
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
+def _leaks(spark: SparkSession, d: str, phrases_only: bool = False) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     items = table(spark, d, "eval_items").select("item_id", "passage")
-    return leaks(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("passage"))
+    return leaks(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("passage"), phrases_only=phrases_only)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).where("kind = 'phrase'").select("doc_id", F.col("item_id").cast("int").alias("item_id"))
+    return _leaks(spark, d, phrases_only=True).select("doc_id", F.col("item_id").cast("int").alias("item_id"))
 
 
 def p8_matches(spark: SparkSession, d: str) -> DataFrame:

@@ -4,10 +4,15 @@ For every run of `run` successive words of a passage the index needs one posting
 only: that of the run's rarest word in the corpus. Each posting keeps the words around it
 (hashed), so the lists of all other words are intersected, offset-adjusted, on the spot:
 a passage word at offset k from the rare one must stand at offset k in the document too.
+
+Near matches have an index of their own, as an edited passage may lack its rarest words: of
+the words around a place of the passage so many may be missing, hence one more of the
+rarest that the corpus has are looked for (a prefix filter).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +28,7 @@ from grainfold.session import written
 @dataclass(frozen=True)
 class LeakSearch:
     """run: successive words that make a leak; near_share: share of the passage words around
-    a rare word that must stand around it in the document, in any order, for a near match;
+    a shared word that must stand around it in the document, in any order, for a near match;
     block_words: passage words searched in one pass over the corpus; piece_chars: longer
     texts are indexed piece by piece, overlapping by `run` words."""
 
@@ -135,6 +140,130 @@ def _anchors(items: list[tuple[int, np.ndarray]], df: dict[int, int], s: LeakSea
     return out
 
 
+#: Successive places of a passage that are looked for together, and the most entries of the table of their words.
+_SEGMENT, _TABLE = 8, 67_108_859
+
+
+@dataclass(frozen=True)
+class _NearIndex:
+    """vocab: the block's words, numbered from 1 by order. Of each place of a passage that a
+    document can match: item, own word, the distinct words around it, their number. Places
+    begin[g] to begin[g + 1] are segment g, of which need[g] words at least must be met;
+    the segments of term[i] are segments[first[i] : first[i + 1]]."""
+
+    vocab: np.ndarray
+    item: np.ndarray
+    centre: np.ndarray
+    around: np.ndarray
+    of: np.ndarray
+    begin: np.ndarray
+    need: np.ndarray
+    terms: np.ndarray
+    first: np.ndarray
+    segments: np.ndarray
+
+
+def _near_index(items: list[tuple[int, np.ndarray]], df: dict[int, int], s: LeakSearch) -> _NearIndex | None:
+    """For each place of each passage, terms of which a near document has at least one around
+    it: the rarest, one more than may be missing after the words that the corpus lacks; or
+    the word at the place itself, if that is rarer than those together."""
+    wing = s.run - 1
+    vocab = np.unique(np.concatenate([w for _, w in items]))
+    freq = np.array([df.get(int(w), 0) for w in vocab], dtype=np.int64)
+    item, centre, around, of, begin, need, of_term = [], [], [], [], [], [], {}
+    for i, words in items:
+        ids = np.searchsorted(vocab, words) + 1
+        for start in range(0, len(ids), _SEGMENT):
+            least, terms, before = None, set(), len(centre)
+            for p in range(start, min(start + _SEGMENT, len(ids))):
+                own = np.unique(ids[max(0, p - wing) : p + wing + 1])
+                shared = max(1, math.ceil(len(own) * s.near_share))
+                there = own[freq[own - 1] > 0]
+                if len(there) < shared or not freq[ids[p] - 1]:
+                    continue
+                rare = there[np.argsort(freq[there - 1], kind="stable")][: len(there) - shared + 1]
+                terms |= {int(ids[p])} if freq[ids[p] - 1] <= freq[rare - 1].sum() else set(rare.tolist())
+                least = shared if least is None else min(least, shared)
+                item.append(i)
+                centre.append(ids[p])
+                around.append(np.pad(own, (0, 2 * wing + 1 - len(own))))
+                of.append(len(own))
+            if least is not None:
+                for t in terms:
+                    of_term.setdefault(t, []).append(len(need))
+                begin.append(before)
+                need.append(least)
+    if not need:
+        return None
+    terms = sorted(of_term)
+    first = np.cumsum([0, *[len(of_term[t]) for t in terms]])
+    return _NearIndex(vocab, np.array(item, dtype=np.int64), np.array(centre), np.array(around), np.array(of), np.array([*begin, len(centre)]), np.array(need), np.array(terms), first, np.concatenate([of_term[t] for t in terms]).astype(np.int64))
+
+
+def _spread(begins: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, begins[row] + 0 .. counts[row] - 1) of every row."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, begins[row] + np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
+
+
+def near_matches(docs: DataFrame, index: _NearIndex, s: LeakSearch) -> DataFrame:
+    """(doc_id, item_id, kind, words): exact. Around every term found, the words that belong
+    to a segment are counted first (words that a table of bounded size confuses only add to
+    them); where they are enough, each place is compared."""
+    wing, x = s.run - 1, index
+    width = 2 * wing + 1
+    span = len(x.vocab) + 1
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("kind", pa.string()), ("words", pa.int32())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = min(len(x.need) * span, _TABLE)
+        table = np.zeros(size, dtype=bool)
+        segment = np.repeat(np.arange(len(x.need)), np.diff(x.begin))
+        table[((segment[:, None] * span + x.around)[x.around > 0]) % size] = True
+        which = np.full(span, -1)
+        which[x.terms] = np.arange(len(x.terms))
+        counts_of = np.diff(x.first)
+        for doc, words, counts in _slices(batches, s):
+            # Texts lie end to end with 2 * wing unknown words before, between and behind.
+            owner = np.repeat(np.arange(len(counts)), counts)
+            text = np.zeros(len(words) + 2 * wing * (len(counts) + 1), dtype=np.int64)
+            text[np.arange(len(words)) + 2 * wing * (owner + 1)] = _find(x.vocab, words) + 1
+            whose = np.repeat(np.arange(len(counts)), counts + 2 * wing)
+            hit = np.flatnonzero(which[text] >= 0)
+            term = which[text[hit]]
+            found = []
+            # Cut where the pairs of a term's place and a segment exceed a bounded number.
+            upto = np.cumsum(counts_of[term])
+            cuts = np.unique(np.searchsorted(upto, np.arange(0, (upto[-1] if len(upto) else 0) + 50_000, 50_000), side="right"))
+            for a, b in zip([0, *cuts], [*cuts, len(hit)]):
+                row, at = _spread(x.first[term[a:b]], counts_of[term[a:b]])
+                seg, t = x.segments[at], hit[a:b][row]
+                key = seg[:, None] * span + text[t[:, None] + np.arange(-2 * wing, 2 * wing + 1)]
+                flags = table[key if size == len(x.need) * span else key % size]
+                total = np.cumsum(np.pad(flags, ((0, 0), (1, 0))), axis=1, dtype=np.int16)
+                enough = (total[:, width:] - total[:, :-width] >= x.need[seg][:, None]) & flags[:, wing : wing + width]
+                i, j = np.nonzero(enough)
+                found.append(np.unique((t[i] + j - wing) * len(x.need) + seg[i]))
+            if not found:
+                continue
+            place, seg = np.divmod(np.unique(np.concatenate(found)), len(x.need))
+            row, p = _spread(x.begin[seg], np.diff(x.begin)[seg])
+            q = place[row]
+            same = x.centre[p] == text[q]
+            p, q = p[same], q[same]
+            shared = np.zeros(len(p), dtype=np.int32)
+            for a in range(0, len(p), 20_000):
+                w, r = x.around[p[a : a + 20_000]], text[q[a : a + 20_000, None] + np.arange(-wing, wing + 1)]
+                shared[a : a + 20_000] = ((w[:, :, None] == r[:, None, :]).any(axis=2) & (w > 0)).sum(axis=1)
+            near = shared >= x.of[p] * s.near_share
+            if near.any():
+                owner, p = whose[q[near] - 2 * wing], p[near]
+                yield pa.record_batch([pa.array(doc[owner]), pa.array(x.item[p]), pa.array(["near"] * len(p)), pa.array(shared[near])], schema=schema)
+
+    found = docs.mapInArrow(scan, "doc_id bigint, item_id bigint, kind string, words int")
+    return found.groupBy("doc_id", "item_id", "kind").agg(F.max("words").alias("words"))
+
+
 def _item_blocks(items: DataFrame, s: LeakSearch) -> Iterator[list[tuple[int, np.ndarray]]]:
     """The passages in blocks of bounded size, whatever their number."""
     block, size = [], 0
@@ -150,7 +279,7 @@ def _item_blocks(items: DataFrame, s: LeakSearch) -> Iterator[list[tuple[int, np
         yield block
 
 
-def leaks(docs: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_id: Column, passage: Column, s: LeakSearch = LeakSearch()) -> DataFrame:
+def leaks(docs: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_id: Column, passage: Column, s: LeakSearch = LeakSearch(), phrases_only: bool = False) -> DataFrame:
     """(doc_id, item_id, kind, words): kind `phrase` if the document holds `run` or more
     successive words of the passage, `words` being the passage words in such runs; else
     `near` if, around a word, near_share of the passage's words stand in any order, `words`
@@ -158,8 +287,8 @@ def leaks(docs: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_
 
     Null and empty texts and passages, and passages with fewer than `run` words, match
     nothing. Repeated documents and items each count once per id; ids must not be null.
-    Passages are searched in blocks against all documents; the result is exact for phrases.
-    Rare words decide where near matches are looked for. Further columns are not read.
+    Passages are searched in blocks against all documents; the result is exact. With
+    phrases_only near matches are not looked for. Further columns are not read.
     """
     spark = docs.sparkSession
     d = docs.select(doc_id.cast("bigint").alias("doc_id"), text.alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
@@ -168,13 +297,15 @@ def leaks(docs: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_
     found = None
     for block in _item_blocks(it, s):
         df = document_frequencies(d, np.concatenate([w for _, w in block]), s)
-        anchors = _anchors(block, df, s)
-        if not anchors:
-            continue
-        terms = np.array(sorted({a[2] for a in anchors}), dtype=np.int64)
-        index = written(postings(d, terms, s), "postings")
-        part = _intersect(index, spark.createDataFrame(anchors, schema), s)
-        found = part if found is None else found.unionByName(part)
+        parts = []
+        if anchors := _anchors(block, df, s):
+            terms = np.array(sorted({a[2] for a in anchors}), dtype=np.int64)
+            index = written(postings(d, terms, s), "postings")
+            parts.append(_intersect(index, spark.createDataFrame(anchors, schema), s))
+        if not phrases_only and (near := _near_index(block, df, s)):
+            parts.append(near_matches(d, near, s))
+        for part in parts:
+            found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, kind string, words int")
     best = found.groupBy("doc_id", "item_id").agg(F.max("kind").alias("kind"), F.max(F.struct("kind", "words")).alias("top"))
@@ -190,9 +321,4 @@ def _intersect(index: DataFrame, anchors: DataFrame, s: LeakSearch) -> DataFrame
     j = j.withColumn("before", reach(F.reverse(F.slice("same", 1, wing)))).withColumn("after", reach(F.slice("same", wing + 2, wing)))
     length = F.col("before") + F.col("after") + 1
     phrase = j.where(length >= s.run).select("doc_id", F.col("item").alias("item_id"), F.explode(F.sequence(F.col("place") - F.col("before"), F.col("place") + F.col("after"))).alias("at"))
-    exact = phrase.groupBy("doc_id", "item_id").agg(F.count_distinct("at").cast("int").alias("words")).select("doc_id", "item_id", F.lit("phrase").alias("kind"), "words")
-    known = F.filter("passage", lambda x: x != 0)
-    shared = F.size(F.array_intersect(known, F.col("around")))
-    near = j.where(length < s.run).select("doc_id", F.col("item").alias("item_id"), shared.alias("words"), F.size(F.array_distinct(known)).alias("of"))
-    near = near.where(F.col("words") >= F.col("of") * F.lit(s.near_share)).groupBy("doc_id", "item_id").agg(F.max("words").cast("int").alias("words")).select("doc_id", "item_id", F.lit("near").alias("kind"), "words")
-    return exact.unionByName(near)
+    return phrase.groupBy("doc_id", "item_id").agg(F.count_distinct("at").cast("int").alias("words")).select("doc_id", "item_id", F.lit("phrase").alias("kind"), "words")

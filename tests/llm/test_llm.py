@@ -129,6 +129,44 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.leaks(dd.limit(0), F.col("doc_id"), F.col("text"), ii, F.col("item_id"), F.col("passage")).count() == 0
 
 
+def near_by_brute_force(docs, items, run=13, share=0.8):
+    """{(doc, item): most words} by trying every place of every passage at every place of every document."""
+    found, wing = {}, run - 1
+    for d, t in docs:
+        w = W.findall((t or "").lower())
+        for i, p in items:
+            v = W.findall((p or "").lower())
+            for a in range(len(v) if len(v) >= run else 0):
+                own = set(v[max(0, a - wing) : a + wing + 1])
+                for b in range(len(w)):
+                    if w[b] == v[a] and (n := len(own & set(w[max(0, b - wing) : b + wing + 1]))) >= len(own) * share:
+                        found[d, i] = max(n, found.get((d, i), 0))
+    return found
+
+
+def test_near_leaks_without_their_rare_words_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    vocab = [f"v{i}" for i in range(90)]
+    passages = [rng.choices(vocab, k=rng.choice([12, 13, 14, 26, 50])) for _ in range(25)]
+    items, docs = [], []
+    for i, p in enumerate(passages):
+        names = {j: f"name{i}x{j}" for j in range(rng.randrange(9), len(p), rng.choice([8, 9, 12]))}  # only the passage has them
+        items.append((i, " ".join(names.get(j, w) for j, w in enumerate(p))))
+        for c in range(3):
+            edited = [rng.choice(vocab) if j in names or rng.random() < c / 20 else w for j, w in enumerate(p)]
+            rng.shuffle(edited[:4])
+            docs.append((10 * i + c, " ".join(rng.choices(vocab, k=rng.randrange(30)) + edited + rng.choices(vocab, k=rng.randrange(30)))))
+    docs += [(900, None), (901, ""), (902, "v1 v2"), (903, " ".join(passages[3] + passages[4]))]
+    want = near_by_brute_force(docs, items)
+    dd = spark.createDataFrame(docs, "doc_id bigint, text string")
+    ii = spark.createDataFrame(items, "item_id bigint, passage string")
+    for s, table in ((leaks.LeakSearch(), leaks._TABLE), (leaks.LeakSearch(block_words=100), 997)):
+        monkeypatch.setattr(leaks, "_TABLE", table)
+        got = leaks.leaks(dd, F.col("doc_id"), F.col("text"), ii, F.col("item_id"), F.col("passage"), s).collect()
+        assert {(r.doc_id, r.item_id) for r in got} >= set(want) and len(want) > 25
+        assert {(r.doc_id, r.item_id): r.words for r in got if r.kind == "near"} == {k: n for k, n in want.items() if k not in {(r.doc_id, r.item_id) for r in got if r.kind == "phrase"}}
+
+
 def test_pieces_cover_the_text(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 9)))
