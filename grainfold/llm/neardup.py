@@ -233,10 +233,12 @@ def _overlap(s: Similarity):
 
 @dataclass(frozen=True)
 class NearDuplicates:
-    """rows: (key, grp, doc, canon) of all texts long enough; links: (a, b) of distinct texts."""
+    """rows: (key, grp, doc, canon) of all texts long enough; links: (a, b) of distinct texts;
+    keys: (key) of all rows."""
 
     rows: DataFrame
     links: DataFrame
+    keys: DataFrame
 
 
 def near_duplicates(df: DataFrame, key: Column, group: Column, text: Column, s: Similarity) -> NearDuplicates:
@@ -271,7 +273,7 @@ def near_duplicates(df: DataFrame, key: Column, group: Column, text: Column, s:
     shared = both.select("a", "b", _overlap(s)("text_a", "text_b").alias("o"))
     num, den = s.at_least.numerator, s.at_least.denominator
     links = shared.where((F.col("o.shared") * den >= F.col("o.total") * num) & (F.col("o.total") > 0)).select("a", "b")
-    return NearDuplicates(rows, written(links, "links"))
+    return NearDuplicates(rows, written(links, "links"), df.select(key.alias("key")))
 
 
 def expand_pairs(n: NearDuplicates) -> DataFrame:
@@ -322,9 +324,10 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def duplicate_classes(n: NearDuplicates) -> DataFrame:
-    """(key, class, links): one row per row of a linked or repeated text; links of its text."""
+    """(key, class, links): one row per row; links of its text. A text without links is a class
+    of its own; null texts and those too short take part in no class and have no links."""
     classes = components(n.links)
     degree = n.links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("links"))
-    repeated = n.rows.groupBy("doc").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc")
-    known = n.rows.join(classes, "doc", "left").join(repeated.withColumn("again", F.lit(True)), "doc", "left").where("class IS NOT NULL OR again")
-    return known.join(degree, "doc", "left").select("key", F.coalesce("class", "doc").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+    known = n.rows.join(classes, "doc", "left").join(degree, "doc", "left").select("key", F.coalesce("class", "doc").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+    rest = n.keys.join(n.rows, "key", "left_anti").select("key", F.lit(None).cast("bigint").alias("class"), F.lit(0).cast("bigint").alias("links"))
+    return known.unionByName(rest)

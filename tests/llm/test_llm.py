@@ -217,3 +217,16 @@ def test_classifier_learns_from_all_labelled_rows(spark):
     held = [(c, " ".join(rng.choices([f"s{c}", f"t{c}", "x", "y"], k=30))) for c in (0, 1, 2) for _ in range(20)]
     p = mixing.posteriors([t for _, t in held], w, m)
     assert np.mean(p.argmax(1) == [c for c, _ in held]) > 0.95 and abs(p.sum(1) - 1).max() < 1e-9
+
+
+def test_classes_hold_every_row(spark):
+    words = [f"w{i}" for i in range(60)]
+    text = lambda a, b: " ".join(words[a:b])
+    rows = [("a1", text(0, 30)), ("a2", text(1, 31)), ("b1", text(30, 60)), ("c1", "too short"), ("d1", None), ("e1", "")]
+    df = spark.createDataFrame(rows, "k string, t string").withColumn("g", F.lit("m"))
+    s = neardup.Similarity(run=3, at_least=Fraction(1, 2), min_words=20)
+    got = {r.key: r for r in neardup.duplicate_classes(neardup.near_duplicates(df, F.col("k"), F.col("g"), F.col("t"), s)).collect()}
+    assert set(got) == {k for k, _ in rows}
+    assert got["a1"]["class"] == got["a2"]["class"] != got["b1"]["class"] and got["b1"]["class"] is not None
+    assert [got[k]["class"] for k in ("c1", "d1", "e1")] == [None] * 3
+    assert {k: r.links for k, r in got.items()} == {"a1": 1, "a2": 1, "b1": 0, "c1": 0, "d1": 0, "e1": 0}
