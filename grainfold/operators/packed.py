@@ -27,8 +27,6 @@ _DELIM = set(DELIMITERS)
 # Gain per character and cost per value: a known name outweighs a quoted span, which
 # outweighs free text; fewer values win among equals.
 _KNOWN, _QUOTED, _FREE, _PER_VALUE = 8.0, 4.0, 1.0, 1.5
-#: Longest distance at which a quote is looked up; longer quoted spans count as free text.
-_QUOTE_SPAN = 4096
 
 
 class Segmenter:
@@ -68,6 +66,8 @@ class Segmenter:
             after[i] = i if c in _DELIM else after[i + 1] if c.isspace() or c in _CLOSE else -1
         # best[i]: (score, next position, value span or None) where a value may start at i.
         best: list[tuple[float, int, tuple[int, int] | None]] = [(0.0, n, None)] * (n + 1)
+        # closing: each closing quote's nearest place behind i where a value can end.
+        closing: dict[str, int] = {}
         for i in range(n - 1, -1, -1):
             c = field[i]
             skip = c in _DELIM or c.isspace() or c in BRACKETS or c in _CLOSE and c not in QUOTES
@@ -76,15 +76,15 @@ class Segmenter:
                 if after[j] >= 0:
                     options.append((_KNOWN * (j - i) - _PER_VALUE + best[after[j]][0], after[j], (i, j)))
             if c in QUOTES:
-                j = field.find(QUOTES[c], i + 1, i + 1 + _QUOTE_SPAN)
-                while j != -1 and after[j + 1] < 0:
-                    j = field.find(QUOTES[c], j + 1, i + 1 + _QUOTE_SPAN)
+                j = closing.get(QUOTES[c], -1)
                 if j != -1:
                     options.append((_QUOTED * (j - i - 1) - _PER_VALUE + best[after[j + 1]][0], after[j + 1], (i + 1, j)))
             elif not skip:
                 j = next_delim[i]
                 options.append((_FREE * (j - i) - _PER_VALUE + best[j][0], j, (i, j)))
             best[i] = max(options, key=lambda o: o[0])
+            if c in _CLOSE and after[i + 1] >= 0:
+                closing[c] = i
         out, i = [], 0
         while i < n:
             _, j, span = best[i]

@@ -51,6 +51,14 @@ def test_segmentation_keeps_delimiters_inside_known_and_quoted_values():
     assert len(s.split(",".join(["x" * 50] * 2000))) == 2000
 
 
+def test_quoted_values_of_any_length():
+    long_ = "one, two; " * 1000 + "end"
+    s = Segmenter(NAMES)
+    assert s.split(f'"{long_}", Music') == (long_, "Music")
+    assert s.split(f"Music; “{long_}” | 'it's, so'") == ("Music", long_, "it's, so")
+    assert len(s.split('"' * 20_000 + "a, b")) == 2
+
+
 def test_explode_packed_rows(spark):
     df = spark.createDataFrame([("a", "Music,Music", "v", 1), ("b", None, "v", 1), ("c", " ", "v", 1)], "id string, g string, value string, pos int")
     got = explode_packed(df, F.col("g"), NAMES, [F.col("id")]).orderBy("pos").collect()
