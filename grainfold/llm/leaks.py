@@ -30,7 +30,7 @@ class LeakSearch:
     """run: successive words that make a leak; near_share: share of the passage words around
     a shared word that must stand around it in the document, in any order, for a near match;
     block_words: passage words searched in one pass over the corpus; piece_chars: longer
-    texts are indexed piece by piece, overlapping by `run` words."""
+    texts are indexed piece by piece, overlapping by 2 * (run - 1) words."""
 
     run: int = 13
     near_share: float = 0.8
@@ -39,7 +39,7 @@ class LeakSearch:
 
 
 def _pieces(text: str, s: LeakSearch) -> Iterator[str]:
-    """The text in pieces, each beginning run - 1 words before the end of the one before."""
+    """The text in pieces; words are not cut."""
     size = s.piece_chars
     if len(text) <= size:
         yield text
@@ -52,22 +52,25 @@ def _pieces(text: str, s: LeakSearch) -> Iterator[str]:
         yield text[begin:end]
         if end >= len(text):
             return
-        at, words = end, 0
-        while at > begin and words < s.run:
-            at -= 1
-            if text[at].isalnum() and (at == begin or not text[at - 1].isalnum()):
-                words += 1
-        begin = at if at > begin else end
+        begin = end
 
 
 def _slices(batches: Iterator[pa.RecordBatch], s: LeakSearch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(document of each text, words, number of words of each text), slice by slice."""
+    """(document of each text, words, number of words of each text), slice by slice. A piece
+    of a long text begins with the last words of those before it, as many as a match at
+    their border can reach back, however few words a piece has."""
+    reach = 2 * (s.run - 1)
     for batch in batches:
         docs, texts = [], []
         for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for p in _pieces(t, s):
+            if len(t) <= s.piece_chars:
                 docs.append(d)
-                texts.append(p)
+                texts.append(t)
+                continue
+            last = np.zeros(0, dtype=np.int64)
+            for p in _pieces(t, s):
+                last = np.concatenate([last[-reach:], tv.Batch([p]).words()[0].view(np.int64)])
+                yield np.array([d], dtype=np.int64), last, np.array([len(last)])
         for a, b in tv.slices(texts):
             words, counts = tv.Batch(texts[a:b]).words()
             yield np.array(docs[a:b], dtype=np.int64), words.view(np.int64), counts

@@ -167,6 +167,17 @@ def test_near_leaks_without_their_rare_words_equal_brute_force(spark, monkeypatc
         assert {(r.doc_id, r.item_id): r.words for r in got if r.kind == "near"} == {k: n for k, n in want.items() if k not in {(r.doc_id, r.item_id) for r in got if r.kind == "phrase"}}
 
 
+def test_leaks_across_pieces_with_few_words(spark):
+    passage = [f"w{i}" for i in range(30)]
+    sparse = lambda words: (" " * 40).join(words)
+    dd = spark.createDataFrame([(1, sparse(passage[:13])), (2, sparse(passage[3:17])), (3, sparse(passage[:12])), (4, sparse([*passage[:25:2], *passage[1:25:2]]))], "doc_id bigint, text string")
+    ii = spark.createDataFrame([(7, " ".join(passage))], "item_id bigint, passage string")
+    run = lambda s: {tuple(r) for r in leaks.leaks(dd, F.col("doc_id"), F.col("text"), ii, F.col("item_id"), F.col("passage"), s).collect()}
+    whole = run(leaks.LeakSearch())
+    assert {(1, 7, "phrase", 13), (2, 7, "phrase", 14)} <= whole and {r[0] for r in whole if r[2] == "near"} >= {4}
+    assert run(leaks.LeakSearch(piece_chars=150)) == whole
+
+
 def test_pieces_cover_the_text(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 9)))
