@@ -11,10 +11,7 @@ from grainfold.operators.orphans import classify_references, orphan_report
 from grainfold.operators.packed import explode_packed
 from grainfold.operators.skew import Measure, eager_join_aggregate, heavy_from_states, key_text, rollup_states
 from grainfold.operators.units import to_common_scale
-from grainfold.session import table
-
-#: A dictionary of names is shipped to the executors; more than this is no dictionary.
-MAX_NAMES = 100_000
+from grainfold.session import table, written
 
 
 def _states(spark: SparkSession, d: str) -> DataFrame:
@@ -41,9 +38,7 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    names = [r[0] for r in table(spark, d, "genre_names").select("genre_name").limit(MAX_NAMES + 1).collect()]
-    if len(names) > MAX_NAMES:
-        raise ValueError("genre_names is too large for a dictionary")
+    names = (r[0] for r in table(spark, d, "genre_names").select("genre_name").toLocalIterator())
     return explode_packed(table(spark, d, "movies"), F.col("genre"), names, [F.col("id")], value="genre", pos="pos").select("id", "pos", "genre")
 
 
@@ -89,7 +84,8 @@ def _per_movie(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return heavy_from_states(_per_movie(spark, d), "id", "left_rows", 2).select("id")
+    """Heavy ids, from the joined states: they are stored, so both tables are read once."""
+    return heavy_from_states(written(_per_movie(spark, d), "states"), "id", "left_rows", 2).select("id")
 
 
 def p7_per_movie(spark: SparkSession, d: str) -> DataFrame:
@@ -177,10 +173,13 @@ v AS (SELECT k.parent_asin, k.t, o.score_max, kind,
   CASE kind WHEN 'stars' THEN 100 * (length(q) - length(replace(q, '★', ''))) + 50 * (length(q) - length(replace(q, '½', ''))) WHEN 'grade' THEN 100 * g.pct WHEN 'ratio' THEN {val(at("q", ratio, 1))} WHEN 'share' THEN {val(at("q", share, 1))} WHEN 'bare' THEN {val(at("q", bare, 1))} END AS v,
   CASE kind WHEN 'stars' THEN 100 * length(q) WHEN 'grade' THEN 10000 WHEN 'ratio' THEN {val(at("q", ratio, 2))} WHEN 'share' THEN 10000 END AS s
   FROM k LEFT JOIN outlets o ON o.outlet = k.outlet LEFT JOIN grade_scale g ON kind = 'grade' AND g.grade = upper(replace(replace(replace(q, ' ', ''), 'plus', '+'), 'minus', '-'))),
-m AS (SELECT parent_asin, v, CASE WHEN kind = 'bare' THEN coalesce(list_filter(list_transform(regexp_extract_all(t, '\\b{num}{unit}{in_text}{num}\\b'),
+m AS (SELECT parent_asin, kind, v, CASE WHEN kind = 'bare' THEN coalesce(list_filter(list_transform(regexp_extract_all(t, '\\b{num}{unit}{in_text}{num}\\b'),
     lambda x: {{'a': {val(at("x", "^" + num, 1))}, 'b': {val(at("x", in_text + num + "$", 1))}}}), lambda x: x.a = v)[1].b, 100 * score_max) ELSE s END AS s FROM v)
-SELECT parent_asin, CAST((2000 * v + s) // (2 * s) AS INTEGER) AS score_1000 FROM m WHERE s > 0 AND v <= s AND v >= 0"""
+"""
 
 
+_P3 = _p3_sql()
 SQL["p2_found"] = _p2_sql()
-SQL["p3_found"] = _p3_sql()
+SQL["p3_found"] = _P3 + """SELECT parent_asin, CAST((2000 * v + s) // (2 * s) AS INTEGER) AS score_1000 FROM m WHERE s > 0 AND v <= s AND v >= 0"""
+SQL["p3_report"] = _P3 + """SELECT CASE WHEN kind IN ('stars', 'share') THEN 'ratio' ELSE coalesce(kind, 'none') END AS kind, count(*) AS n_rows, count(*) FILTER (WHERE s > 0 AND v <= s AND v >= 0) AS n_scored
+FROM (SELECT kind, v, s FROM m UNION ALL SELECT NULL, NULL, NULL FROM movie_reviews WHERE original_score IS NULL) GROUP BY 1"""

@@ -81,9 +81,11 @@ def classify_references(
 
 
 def orphan_report(classified: DataFrame, table_name: str) -> DataFrame:
-    """Orphans by table, month of arrival (UTC, first day; null where undated) and state."""
+    """Orphans by table, month of arrival (UTC whatever the session's zone, first day; null
+    where undated) and state."""
+    day = F.date_from_unix_date(F.floor(F.unix_micros("at") / F.lit(86_400_000_000)).cast("int"))
     return (
         classified.where("state <> 'present'")
-        .groupBy(F.lit(table_name).alias("table_name"), F.trunc("at", "month").alias("month"), "state")
+        .groupBy(F.lit(table_name).alias("table_name"), F.trunc(day, "month").alias("month"), "state")
         .agg(F.count(F.lit(1)).alias("orphans"), F.count_distinct("key").alias("keys"))
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import islice
 
 import ahocorasick
 import pandas as pd
@@ -30,11 +31,12 @@ _KNOWN, _QUOTED, _FREE, _PER_VALUE = 8.0, 4.0, 1.0, 1.5
 
 
 class Segmenter:
-    """Splits one field. `names` are the known whole values, compared in any case."""
+    """Splits one field. `names` are the known whole values, compared in any case; `more` are
+    spans of further known values, found with other parts of the dictionary."""
 
     def __init__(self, names: Iterable[str]):
         self.names = tuple(sorted({n.strip().lower() for n in names if n and n.strip()}))
-        self._auto = None
+        self._known, self._auto = frozenset(self.names), None
         if self.names:
             self._auto = ahocorasick.Automaton()
             for n in self.names:
@@ -50,12 +52,16 @@ class Segmenter:
         low = s.lower()
         return low if len(low) == len(s) else "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
 
-    def _split(self, field: str) -> tuple[str, ...]:
+    def spans(self, field: str) -> list[tuple[int, int]]:
+        """[begin, end) of every place where a known value stands."""
+        return [(end + 1 - size, end + 1) for end, size in self._auto.iter(self._fold(field))] if self._auto else []
+
+    def _split(self, field: str, more: tuple[tuple[int, int], ...] = ()) -> tuple[str, ...]:
         n = len(field)
         known: dict[int, list[int]] = {}
-        if self._auto is not None:
-            for end, size in self._auto.iter(self._fold(field)):
-                known.setdefault(end + 1 - size, []).append(end + 1)
+        whole = set(more)
+        for i, j in (*self.spans(field), *more):
+            known.setdefault(i, []).append(j)
 
         # next_delim[i]: the first delimiter at or after i. after[i]: where a value that ends
         # at i leaves off, past blanks and closing marks; -1 if other text follows first.
@@ -89,7 +95,7 @@ class Segmenter:
         while i < n:
             _, j, span = best[i]
             if span:
-                v = self._bare(field[span[0] : span[1]])
+                v = field[span[0] : span[1]] if span in whole else self._bare(field[span[0] : span[1]])
                 if v:
                     out.append(v)
             i = j
@@ -99,7 +105,7 @@ class Segmenter:
         """Without surrounding blanks, quotes and brackets; brackets that belong to a known name stay."""
         while True:
             v = v.strip()
-            if v.lower() in self.names:
+            if v.lower() in self._known:
                 return v
             if v and (v[0] in _OPEN or v[0] in _CLOSE):
                 v = v[1:]
@@ -109,21 +115,43 @@ class Segmenter:
                 return v
 
 
-def explode_packed(df: DataFrame, field: Column, names: Sequence[str], keep: Sequence[Column], value: str = "value", pos: str = "pos") -> DataFrame:
+#: Names of the dictionary that one automaton holds.
+BLOCK = 50_000
+
+
+def explode_packed(df: DataFrame, field: Column, names: Iterable[str], keep: Sequence[Column], value: str = "value", pos: str = "pos", block: int = BLOCK) -> DataFrame:
     """One row per value: the columns of `keep`, then `pos` (int, from 1) and `value`.
 
     Null, blank and delimiter-only fields give no rows; repeated values each keep their
     place; a field without any delimiter is one value. Case is kept as written. The names
-    are shipped with the function: they are a dictionary of values, not data of size n.
+    are shipped with the function, `block` of them at a time: a larger dictionary is
+    searched block after block, with the same result.
     """
-    cut = Segmenter(names)
+    parts, every = [], iter(names)
+    while own := list(islice(every, block)):
+        parts.append(Segmenter(own))
+    cut, others = (parts or [Segmenter(())])[0], parts[1:]
+
+    def finder(s: Segmenter):
+        @F.pandas_udf(T.ArrayType(T.IntegerType()))
+        def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for b in batches:
+                yield b.map(lambda x: [i for span in s.spans(x) for i in span])
+
+        return find
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield b.map(lambda x: list(cut.split(x)))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield s.map(lambda x: None if x is None else list(cut.split(x)))
+    def split_with(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            yield pd.Series([list(cut.split(x, tuple(zip(y[::2], y[1::2])))) for x, y in zip(a, b)])
 
-    rows = df.where(field.isNotNull()).select(*keep, split(field).alias("__values"))
+    rows = df.where(field.isNotNull()).select(*keep, field.alias("__field"))
     names_kept = rows.columns[:-1]
-    out = rows.select(*names_kept, F.posexplode("__values").alias("__pos", "__value"))
+    values = split_with("__field", F.concat(*[finder(s)("__field") for s in others])) if others else split("__field")
+    out = rows.select(*names_kept, values.alias("__values")).select(*names_kept, F.posexplode("__values").alias("__pos", "__value"))
     return out.select(*names_kept, (F.col("__pos") + 1).cast("int").alias(pos), F.col("__value").alias(value))

@@ -86,7 +86,7 @@ def eager_join_aggregate(
         <m>_n, <m>_sum            over the rows of its own side,
         <m>_join_n, <m>_join_sum  over the rows of the inner join.
 
-    Sums are decimals (exact, so independent of order). A null key forms one row of its
+    Sums are decimals with eight decimals (exact, so independent of order), products too. A null key forms one row of its
     own on the left and joins nothing. Measures that are null, or NaN, do not count.
     Empty inputs give no rows; keys only in `right` do not appear. Other columns of the
     inputs are never read, whatever their names.
@@ -107,14 +107,21 @@ def eager_join_aggregate(
     j = a.join(b, a[key] == F.col("__key"), "left").drop("__key")
     times = F.coalesce(F.col("right_rows"), F.lit(0))
     out = [F.col(key), F.col("left_rows"), times.alias("right_rows"), (F.col("left_rows") * times).alias("join_rows")]
-    for m in left_measures:
-        out += [F.col(f"{m.name}_n"), F.col(f"{m.name}_sum"), (F.col(f"{m.name}_n") * times).alias(f"{m.name}_join_n"), (F.col(f"{m.name}_sum") * times).alias(f"{m.name}_join_sum")]
-    for m in right_measures:
-        n = F.coalesce(F.col(f"{m.name}_n"), F.lit(0))
-        out += [n.alias(f"{m.name}_n"), F.col(f"{m.name}_sum"), (n * F.col("left_rows")).alias(f"{m.name}_join_n"), (F.col(f"{m.name}_sum") * F.col("left_rows")).alias(f"{m.name}_join_sum")]
+    for measures, other in ((left_measures, times), (right_measures, F.col("left_rows"))):
+        for m in measures:
+            n, total = F.coalesce(F.col(f"{m.name}_n"), F.lit(0)), F.col(f"{m.name}_sum")
+            out += [n.alias(f"{m.name}_n"), total, (n * other).alias(f"{m.name}_join_n"), _exact_product(total, other).alias(f"{m.name}_join_sum")]
     return j.select(*out)
 
 
+def _exact_product(total: Column, times: Column) -> Column:
+    """decimal(30,8) x bigint as decimal(38,8): whole part and decimals apart, as the plain
+    product would be rounded to six decimals."""
+    whole = F.when(total < 0, F.ceil(total)).otherwise(F.floor(total)).cast("decimal(22,0)")
+    rest = (total - whole).cast("decimal(9,8)")
+    return ((whole * times).cast("decimal(37,8)") + rest * times).cast("decimal(38,8)")
+
+
 def rollup_states(states: DataFrame, by: Sequence[Column], sums: Sequence[str]) -> DataFrame:
     """Roll compact states up to coarser groups; every state column is a sum, so it adds."""
     return states.groupBy(*by).agg(*[F.sum(s).alias(s) for s in sums])

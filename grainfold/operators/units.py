@@ -3,7 +3,7 @@
 `UnitGrammar` reads a unit string by dynamic programming over tries of prefixes, roots
 and exponents. An ambiguous string ("pt": point or pint, "min": minute or milli-inch) is
 decided by the weights of its parts plus a prior for the dimension the field measures.
-`QuantityReader` reads whole fields (number, unit, scale, grade, star signs) on top of it
+`QuantityReader` reads whole fields (number, unit, link, scale; grades and star signs) with it
 and `to_common_scale` applies it to a table, taking a missing scale from a running text
 or from a lookup table.
 """
@@ -16,7 +16,8 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from fractions import Fraction
 from functools import lru_cache
-from math import log
+from heapq import heappop, heappush
+from math import isfinite, log
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -77,23 +78,32 @@ class UnitGrammar:
         self._sep = _Trie(self.SEPARATORS)
 
     def readings(self, text: str) -> list[Unit]:
-        """All readings of the whole string, best first; empty if there is none.
+        """All readings of the whole string, best first; empty if there is none."""
+        s = " ".join(text.lower().split())
+        return sorted((u for end, u in self.spans(s, 0) if end == len(s)), key=lambda u: (-u.score, u.dimension))
+
+    def spans(self, s: str, begin: int) -> list[tuple[int, Unit]]:
+        """(end, reading) of every unit that begins at `begin`.
 
-        table[i] holds, for each (dimension powers, sign of the next factor), the best
-        way to read text[:i]; the dimension prior is added at the end.
+        table[i] holds, for each (dimension powers, sign of the next factor), the best way
+        to read s[begin:i]; the dimension prior is added at the end.
         """
-        s = " ".join(text.lower().split())
-        n = len(s)
-        table: list[dict] = [{} for _ in range(n + 1)]
-        table[0][((), 1)] = (0.0, Fraction(1))
+        table: dict[int, dict] = {begin: {((), 1): (0.0, Fraction(1))}}
+        todo = [begin]
+        out = []
 
         def put(i: int, key, score: float, factor: Fraction) -> None:
-            if key not in table[i] or table[i][key][0] < score:
-                table[i][key] = (score, factor)
-
-        for i in range(n):
+            at = table.setdefault(i, {})
+            if not at:
+                heappush(todo, i)
+            if key not in at or at[key][0] < score:
+                at[key] = (score, factor)
+
+        while todo:
+            i = heappop(todo)
             for (powers, sign), (score, factor) in list(table[i].items()):
-                if sign == 0:  # after a factor: a separator must follow
+                if sign == 0:  # after a factor: the unit may end, or a separator follows
+                    out.append((i, Unit(powers, factor, score + self._prior(powers))))
                     for j, s2 in self._sep.walk(s, i):
                         put(j, (powers, s2), score, factor)
                     continue
@@ -107,8 +117,7 @@ class UnitGrammar:
                             p[root.dimension] = p.get(root.dimension, 0) + sign * e
                             key = (tuple(sorted((d, x) for d, x in p.items() if x)), 0)
                             put(e_end, key, score + cost + log(root.weight), factor * (pre * root.factor) ** (sign * e))
-        out = [Unit(p, f, sc + self._prior(p)) for (p, sign), (sc, f) in table[n].items() if sign == 0]
-        return sorted(out, key=lambda u: (-u.score, u.dimension))
+        return out
 
     def read(self, text: str) -> Unit | None:
         return next(iter(self.readings(text)), None)
@@ -152,28 +161,57 @@ ROOTS: dict[str, list[Root]] = {
 RATING_PRIORS = {"count": 0.6, "share": 0.35, "money": 0.001, "volume": 0.001, "time": 0.001, "length": 0.001, "*": 1e-6}
 
 # Number words, the words between a value and its scale, labels.
-NUMBER_WORDS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "fifteen": 15, "twenty": 20, "fifty": 50, "hundred": 100, "a hundred": 100, "one hundred": 100}
+ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+POWERS = {"hundred": 100, "thousand": 1000, "million": 1_000_000}
+HALF = "and a half"
 FIELD_LINKS = ("/", "out of", "of a possible", "on a scale of", "of", "sur", "von")
 TEXT_LINKS = ("/", "out of", "of a possible", "on a scale of", "sur", "von")
 LABELS = ("rating", "grade", "score", "mark", "verdict", "note")
 STAR_FULL, STAR_HALF, STAR_EMPTY = "★", "½", "☆"
-
-_DIGITS = r"\d+(?:[.,]\d+)?"
-_WORDS = "|".join(sorted(NUMBER_WORDS, key=len, reverse=True))
-_NUMBER = rf"(?:{_DIGITS}|(?:{_WORDS})(?: and a half)?)"
-
-
-def _number(t: str) -> Fraction:
-    half = Fraction(0)
-    if t.endswith(" and a half"):
-        t, half = t[: -len(" and a half")], Fraction(1, 2)
-    if t in NUMBER_WORDS:
-        return NUMBER_WORDS[t] + half
-    return Fraction(t.replace(",", "."))
-
-
-def _links(words: tuple[str, ...]) -> str:
-    return "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
+_MARKS = str.maketrans(dict.fromkeys("()[]{}\"'“”‘’«»„`", " "))
+
+_NUMERAL = _Trie({**{w: [("one", i)] for i, w in enumerate(ONES)}, **{w: [("ten", 10 * (i + 2))] for i, w in enumerate(TENS)}, **{w: [("power", p)] for w, p in POWERS.items()}, "a": [("a", 1)]})
+
+
+def _digits(s: str, i: int) -> int:
+    while i < len(s) and "0" <= s[i] <= "9":
+        i += 1
+    return i
+
+
+def numbers(s: str, i: int) -> Iterator[tuple[int, Fraction]]:
+    """(end, value) of every number that begins at i: digits with a point or comma, or words
+    ("thirty-five", "a hundred and twelve", "three and a half"). Digits are never parted."""
+    j = _digits(s, i)
+    if j > i:
+        if s[j : j + 1] in (".", ",") and _digits(s, j + 1) > j + 1:
+            k = _digits(s, j + 1)
+            yield k, Fraction(int(s[i:j] + s[j + 1 : k]), 10 ** (k - j - 1))
+        else:
+            yield j, Fraction(int(s[i:j]))
+        return
+    # (at, settled, open, kind of the last word): the value is settled + open.
+    todo = [(i, 0, 0, "")]
+    while todo:
+        at, total, part, last = todo.pop()
+        for j, (kind, n) in _NUMERAL.walk(s, at):
+            if j < len(s) and s[j].isalnum():
+                continue
+            if kind == "one" and (last in ("", "power") or last == "ten" and 0 < n < 10):
+                state = (total, part + n, kind)
+            elif kind == "ten" and last in ("", "power") or kind == "a" and last == "":
+                state = (total, part + n, kind)
+            elif kind == "power" and last and part and (n > 100 or part < 100):
+                state = (total, part * n, kind) if n == 100 else (total + part * n, 0, kind)
+            else:
+                continue
+            if kind != "a":
+                value = Fraction(state[0] + state[1])
+                yield j, value
+                if s.startswith(" " + HALF, j) and not s[j + len(HALF) + 1 : j + len(HALF) + 2].isalnum():
+                    yield j + len(HALF) + 1, value + Fraction(1, 2)
+            todo += [(j + len(x), *state) for x in (" and ", "-", " ") if s.startswith(x, j)][:1]
 
 
 def _fold(text: str) -> str:
@@ -198,62 +236,86 @@ _NONE = Reading("none")
 
 @dataclass
 class QuantityReader:
-    """Reads one field. Hashable answers are remembered: notations repeat a great deal."""
+    """Reads one field as number [unit] [link number [unit]]: of all ways that the tries of
+    numbers, units and links allow, the one with the best score. Answers are remembered:
+    notations repeat a great deal."""
 
     grammar: UnitGrammar = field(default_factory=lambda: UnitGrammar(PREFIXES, ROOTS, EXPONENTS, RATING_PRIORS))
 
     def __post_init__(self):
         self.read = lru_cache(maxsize=100_000)(self._read)
-        self._ratio = re.compile(rf"({_NUMBER}) ?([^\d/]*?) ?(?:{_links(FIELD_LINKS)}) ?({_NUMBER})(?: ?([^\d]+))?")
-        self._plain = re.compile(rf"({_NUMBER})(?: ?([^\d]+))?")
-        self._grade = re.compile(r"([a-z]) ?(\+|-|plus|minus)?")
-        self._label = re.compile(rf"(?:{'|'.join(LABELS)}) ?[:=] ?")
-        self._in_text = re.compile(rf"(?<![\w.,])({_NUMBER}) ?(?:(?:stars?|points?|pts?) )?(?:{_links(TEXT_LINKS)}) ?({_NUMBER})(?!\w)")
+        self._field_links, self._text_links = (_Trie({w: w for w in links}) for links in (FIELD_LINKS, TEXT_LINKS))
+        self._labels, self._grades = _Trie({w: w for w in LABELS}), _Trie({"+": "+", "-": "-", "plus": "+", "minus": "-", "": ""})
+        # Where a number may begin in a running text; the grammar reads on from there.
+        self._begins = re.compile(rf"(?<![\w.,])(?=\d|(?:{'|'.join(ONES + TENS)}|a (?:{'|'.join(POWERS)}))\b)")
 
     def __reduce__(self):
         return QuantityReader, (self.grammar,)
 
-    def _dimension(self, unit: str | None) -> tuple[str, Fraction]:
-        if not unit or not unit.strip():
-            return "count", Fraction(1)
-        u = self.grammar.read(unit.strip(" ."))
-        return (u.dimension, u.factor) if u else ("unknown", Fraction(1))
+    def _unit_after(self, s: str, i: int) -> list[tuple[int, Unit | None]]:
+        """Whether and how a unit follows the number that ends at i."""
+        j = i + 1 if s[i : i + 1] == " " else i
+        own = [(e + 1 if s[e : e + 1] == "." else e, u) for e, u in self.grammar.spans(s, j) if e == len(s) or not s[e].isalnum()]
+        return [(i, None), *own]
+
+    def _phrases(self, s: str, i: int, links: _Trie) -> Iterator[tuple[int, float, Fraction, Unit | None, Fraction | None, Unit | None]]:
+        """(end, score, value, its unit, scale or None, its unit) of every quantity that begins at i."""
+        for j, value in numbers(s, i):
+            for k, unit in self._unit_after(s, j):
+                score = unit.score if unit else 0.0
+                yield k, score, value, unit, None, None
+                at = k + 1 if s[k : k + 1] == " " else k
+                for m, _ in links.walk(s, at):
+                    m = m + 1 if s[m : m + 1] == " " else m
+                    for n, scale in numbers(s, m):
+                        for end, other in self._unit_after(s, n):
+                            yield end, score + (other.score if other else 0.0), value, unit, scale, other
 
     def _read(self, text: str) -> Reading:
         t = _fold(text)
-        t = self._label.sub("", t, count=1) if self._label.match(t) else t
+        for end, _ in self._labels.walk(t, 0):
+            rest = t[end:].lstrip()
+            if rest[:1] in (":", "="):
+                t = rest[1:].lstrip()
+                break
         while len(t) > 1 and (t[0], t[-1]) in (("(", ")"), ("[", "]"), ('"', '"')):
             t = t[1:-1].strip()
         if t and set(t) <= {STAR_FULL, STAR_HALF, STAR_EMPTY}:
             return Reading("ratio", t.count(STAR_FULL) + Fraction(t.count(STAR_HALF), 2), Fraction(len(t)))
-        if m := self._grade.fullmatch(t):
-            return Reading("grade", grade=m[1].upper() + {"plus": "+", "minus": "-"}.get(m[2], m[2] or ""))
-        if m := self._ratio.fullmatch(t):
-            if self._dimension(m[2])[0] == "count" and self._dimension(m[4])[0] == "count":
-                return Reading("ratio", _number(m[1]), _number(m[3]))
+        signs = [sign for e, sign in self._grades.walk(t, 2 if t[1:2] == " " else 1) if e == len(t)] if t else []
+        if signs and "a" <= t[0] <= "z":
+            return Reading("grade", grade=t[0].upper() + signs[0])
+        whole = [p for p in self._phrases(t, 0, self._field_links) if p[0] == len(t)]
+        if not whole:
             return _NONE
-        if m := self._plain.fullmatch(t):
-            dim, factor = self._dimension(m[2])
-            if dim == "share":
-                return Reading("ratio", _number(m[1]), 1 / factor)
-            if dim == "count":
-                return Reading("bare", _number(m[1]))
-        return _NONE
+        _, _, value, unit, scale, other = max(whole, key=lambda p: p[1])
+        kinds = [u.dimension if u else "count" for u in (unit, other)]
+        if scale is not None:
+            return Reading("ratio", value, scale) if kinds == ["count", "count"] else _NONE
+        if kinds[0] == "share":
+            return Reading("ratio", value, 1 / unit.factor)
+        return Reading("bare", value) if kinds[0] == "count" else _NONE
 
     def scale_in_text(self, value: Fraction, text: str) -> Fraction | None:
-        """The scale that a running text gives for this same number; the first if several."""
-        for m in self._in_text.finditer(_fold(text)):
-            if _number(m[1]) == value:
-                return _number(m[2])
+        """The scale that a running text gives for this same number; the first if several.
+        Quotes and brackets around words do not count."""
+        t = " ".join(_fold(text).translate(_MARKS).split())
+        for m in self._begins.finditer(t):
+            found = [
+                (end, scale)
+                for end, _, own, unit, scale, other in self._phrases(t, m.start(), self._text_links)
+                if own == value and scale is not None and other is None and (unit is None or unit.dimension == "count") and not t[end : end + 1].isalnum()
+            ]
+            if found:
+                return max(found)[1]
         return None
 
 
-_MICRO = 1_000_000
-_MAX = 10**12
-
-
-def _micro(x: Fraction | None) -> int | None:
-    return None if x is None or x > _MAX else round(x * _MICRO)
+def _score(value: Fraction, scale: Fraction, target: int) -> int | None:
+    """target * value / scale, rounded half up; null if the value lies outside the scale."""
+    if scale <= 0 or not 0 <= value <= scale:
+        return None
+    return int((2 * target * value + scale) // (2 * scale))
 
 
 def to_common_scale(
@@ -275,52 +337,49 @@ def to_common_scale(
     signs; a grade is worth grade_share percent), else the one that `text` gives for the
     same number, else `fallback`. score is null where the quantity is null, blank or no
     number, the grade or the scale is unknown or not positive, or the value lies above
-    the scale. Values count with six decimals. Rows are kept one for one, repeated ones
-    too; empty tables give no rows; only the given columns are read.
+    the scale. Values and scales are exact whatever their size and number of digits. Rows
+    are kept one for one, repeated ones too; empty tables give no rows; only the given
+    columns are read.
 
     The text is sent to Python only for rows whose quantity states no scale; repeated
-    notations are read once per worker. Arithmetic is in whole millionths on the JVM.
+    notations are read once per worker.
     """
     r = reader or QuantityReader()
 
-    @F.pandas_udf("kind string, v bigint, s bigint, g string")
+    @F.pandas_udf("kind string, score int, v string, g string")
     def read(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for col in parts:
             codes, uniq = pd.factorize(col, use_na_sentinel=True)
             got = [r.read(u) for u in uniq] + [_NONE]
-            rows = [(x.kind, _micro(x.value), _micro(x.scale), x.grade) for x in got]
-            table = pd.DataFrame({"kind": [a[0] for a in rows], "v": pd.array([a[1] for a in rows], "Int64"), "s": pd.array([a[2] for a in rows], "Int64"), "g": [a[3] for a in rows]})
+            scores = [_score(x.value, x.scale, target) if x.kind == "ratio" else None for x in got]
+            values = [str(x.value) if x.kind == "bare" else None for x in got]
+            table = pd.DataFrame({"kind": [x.kind for x in got], "score": pd.array(scores, "Int32"), "v": values, "g": [x.grade for x in got]})
             yield table.iloc[codes].reset_index(drop=True)  # code -1 is null: the last row
 
-    @F.pandas_udf("bigint")
-    def scale_of(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for v, t in parts:
-            out = [_micro(r.scale_in_text(Fraction(int(a), _MICRO), b)) if b is not None else None for a, b in zip(v, t)]
-            yield pd.Series(pd.array(out, "Int64"))
+    @F.pandas_udf("int")
+    def score_bare(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for v, t, f in parts:
+            out: list[int | None] = []
+            for a, b, c in zip(v, t, f):
+                score = None
+                if a is not None:
+                    value = Fraction(a)
+                    scale = r.scale_in_text(value, b) if b is not None else None
+                    if scale is None and c is not None and isfinite(c):
+                        scale = Fraction(repr(float(c)))
+                    score = _score(value, scale, target) if scale is not None else None
+                out.append(score)
+            yield pd.Series(pd.array(out, "Int32"))
 
-    names = []
     first = df.select(*keep, quantity.alias("__q"), text.alias("__text"), fallback.cast("double").alias("__fallback"))
     names = first.columns[: len(keep)]
     first = first.withColumn("__r", read("__q"))
     bare = F.col("__r.kind") == "bare"
-    second = first.select(
-        *names,
-        F.col("__r.kind").alias("kind"),
-        F.col("__r.v").alias("__v"),
-        F.col("__r.s").alias("__s"),
-        F.col("__r.g").alias("__g"),
-        F.when(bare, F.col("__text")).alias("__text"),
-        F.when(bare, F.round(F.col("__fallback") * _MICRO).cast("bigint")).alias("__f"),
-    )
-    third = second.withColumn("__t", scale_of(F.when(F.col("__text").isNotNull(), F.col("__v")).otherwise(F.lit(0)), "__text"))
-    g = grades.select(F.upper(F.trim(F.col(grade_name))).alias("__grade"), (F.col(grade_share) * _MICRO).cast("bigint").alias("__pct"))
+    second = first.select(*names, F.col("__r.kind").alias("kind"), F.col("__r.score").alias("__score"), F.col("__r.v").alias("__v"), F.col("__r.g").alias("__g"), F.when(bare, F.col("__text")).alias("__text"), "__fallback")
+    third = second.withColumn("__bare", score_bare("__v", "__text", "__fallback"))
+    share = F.col(grade_share).cast("decimal(20,6)")
+    g = grades.select(F.upper(F.trim(F.col(grade_name))).alias("__grade"), F.when(share.between(0, 100), share).alias("__pct"))
     g = g.where(F.col("__grade").isNotNull()).groupBy("__grade").agg(F.max("__pct").alias("__pct"))
+    graded = F.floor((F.col("__pct") * (2 * target) + 100) / 200).cast("int")
     joined = third.join(g, F.col("__g") == F.col("__grade"), "left")
-    graded = F.col("kind") == "grade"
-    value = F.when(graded, F.col("__pct")).otherwise(F.col("__v"))
-    scale = F.when(graded, F.lit(100 * _MICRO)).otherwise(F.coalesce("__s", "__t", "__f")).cast("bigint")
-    out = joined.select(*names, "kind", value.alias("__value"), scale.alias("__scale"))
-    ok = (F.col("__scale") > 0) & (F.col("__value") >= 0) & (F.col("__value") <= F.col("__scale"))
-    wide = lambda c: F.col(c).cast("decimal(19,0)")
-    score = F.when(ok, F.floor((wide("__value") * (2 * target) + wide("__scale")) / (wide("__scale") * 2)).cast("int"))
-    return out.select(*names, "kind", score.alias("score"))
+    return joined.select(*names, "kind", F.coalesce("__score", "__bare", F.when(F.col("kind") == "grade", graded)).alias("score"))

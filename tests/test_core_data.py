@@ -1,4 +1,5 @@
 from datetime import datetime
+from decimal import Decimal
 from fractions import Fraction
 
 from pyspark.sql import functions as F
@@ -59,6 +60,14 @@ def test_quoted_values_of_any_length():
     assert len(s.split('"' * 20_000 + "a, b")) == 2
 
 
+def test_dictionary_in_blocks_gives_the_same_values(spark):
+    rows = [("a", "short, experimental, Stage/Concert; Heist; Caper | (Music)"), ("b", "LGBTQ+/Kids & Family"), ("c", None), ("d", "")]
+    df = spark.createDataFrame(rows, "id string, g string")
+    one, many = ({tuple(r) for r in explode_packed(df, F.col("g"), NAMES, [F.col("id")], block=n).collect()} for n in (100, 2))
+    assert one == many and ("a", 3, "Heist; Caper") in one and len(one) == 6
+    assert [r.value for r in explode_packed(df.where("id = 'b'"), F.col("g"), [], [F.col("id")]).collect()] == ["LGBTQ+", "Kids", "Family"]
+
+
 def test_explode_packed_rows(spark):
     df = spark.createDataFrame([("a", "Music,Music", "v", 1), ("b", None, "v", 1), ("c", " ", "v", 1)], "id string, g string, value string, pos int")
     got = explode_packed(df, F.col("g"), NAMES, [F.col("id")]).orderBy("pos").collect()
@@ -78,12 +87,22 @@ def test_units_and_readings():
     assert {r.read(t).kind for t in ("NR", "", "?", "see review", "-3/5")} == {"none"}
 
 
+def test_numbers_of_any_size_and_in_words():
+    r = QuantityReader()
+    words = {"thirteen out of twenty": (13, 20), "Forty-two of sixty": (42, 60), "a hundred and twelve of 200": (112, 200), "nineteen and a half / fifty": (Fraction(39, 2), 50), "3000000000000.25/4000000000000": (Fraction(12000000000001, 4), 4 * 10**12), "ninety percent": (90, 100)}
+    for text, want in words.items():
+        assert (r.read(text).value, r.read(text).scale) == want, text
+    assert {r.read(t).kind for t in ("forty forty of fifty", "hundred hundred", "twenty zero / 30", "12 percent out of 100")} == {"none"}
+    assert r.scale_in_text(Fraction(7), "I'd call it 7 on a (scale) of **10**.") == 10
+    assert r.scale_in_text(Fraction(4), "One out of seven left.(4 \"out\" of 5 from me)") == 5 and r.scale_in_text(Fraction(1), "1.5 out of 6, 11/20") is None
+
+
 def test_common_scale_sources_of_the_scale(spark):
-    rows = [("a", "3", "My rating: 3 out of 4.", 10), ("b", "3", "no", 10), ("c", "3", None, None), ("d", "6/5", None, None), ("e", "1/0", None, None), ("f", "a-", None, None), ("g", None, "3/4", 5), ("h", "1/3", "", None), ("i", "2", "*2*  on a scale\nof 8", None), ("i", "2", "*2*  on a scale\nof 8", None), ("j", "H", "", 1)]
+    rows = [("a", "3", "My rating: 3 out of 4.", 10), ("b", "3", "no", 10), ("c", "3", None, None), ("d", "6/5", None, None), ("e", "1/0", None, None), ("f", "a-", None, None), ("g", None, "3/4", 5), ("h", "1/3", "", None), ("i", "2", "*2*  on a scale\nof 8", None), ("i", "2", "*2*  on a scale\nof 8", None), ("j", "H", "", 1), ("k", "2" + "0" * 30 + "/4" + "0" * 30, None, None)]
     df = spark.createDataFrame(rows, "k string, q string, text string, score int")
     grades = spark.createDataFrame([("A-", 91)], "grade string, pct int")
     got = sorted((r.k, r.score) for r in to_common_scale(df, keep=[F.col("k")], quantity=F.col("q"), text=F.col("text"), fallback=F.col("score"), grades=grades).collect() if r.score is not None)
-    assert got == [("a", 750), ("b", 300), ("f", 910), ("h", 333), ("i", 250), ("i", 250)]
+    assert got == [("a", 750), ("b", 300), ("f", 910), ("h", 333), ("i", 250), ("i", 250), ("k", 500)]
 
 
 def test_eager_join_equals_plain_join(spark):
@@ -98,6 +117,22 @@ def test_eager_join_equals_plain_join(spark):
     assert s.limit(0).count() == 0
 
 
+def test_sums_over_the_join_are_exact(spark):
+    left = spark.createDataFrame([("a", 0.00000001), ("a", 123456789.12345678), ("b", -0.00000003)], "id string, v double")
+    right = spark.createDataFrame([("a",), ("a",), ("b",), ("b",), ("b",)], "id string")
+    s = eager_join_aggregate(left, right, F.col("id"), F.col("id"), [Measure("v", F.col("v"))])
+    assert {r.id: r.v_join_sum for r in s.collect()} == {"a": Decimal("246913578.24691358"), "b": Decimal("-9E-8")}
+
+
+def test_heavy_ids_come_through_the_joined_states(spark, monkeypatch):
+    from grainfold import catalog_data
+
+    plans = []
+    monkeypatch.setattr(catalog_data, "written", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    catalog_data.p7_found(spark, "/root/testdata/sf0.001").collect()
+    assert "Join LeftOuter" in plans[0] and "audience_score" in plans[0] and plans[0].count("sentiment_conf") > 1
+
+
 def test_heavy_keys_are_bounded(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 400, "x").otherwise(F.col("id").cast("string")).alias("k"))
     assert [(r.k, r.rows) for r in heavy_keys(df, "k", 0.1).collect()] == [("x", 400)]
