@@ -108,19 +108,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _MID = "nullif(lower(trim(id)), '')"
 _BARE = "regexp_replace(lower({}), '[^\\pL\\pN]', '', 'g')"
-_CANON = f"""
-WITH marked AS (SELECT parent_asin, {_MID} AS mid, review_text AS t,
-    regexp_replace(review_text, '(^|[;|\\n])[^\\pL\\pN;|\\n]*([\\pL\\pN]+)[^\\pL\\pN;|\\n]*:', '\\1' || chr(1) || '\\2:', 'g') AS m
-  FROM movie_reviews WHERE review_text IS NOT NULL),
-canon AS (SELECT parent_asin, mid,
-    CASE WHEN len(string_split(m, chr(1))) > 2 AND {_BARE.format("string_split(m, chr(1))[1]")} = ''
-      THEN array_to_string(list_sort(list_transform(string_split(m, chr(1)), lambda x: {_BARE.format("x")})), chr(2))
-      ELSE {_BARE.format("t")} END AS c FROM marked WHERE mid IS NOT NULL),
-groups AS (SELECT mid, c, min(parent_asin) AS first, count(*) AS copies FROM canon GROUP BY mid, c)
+# Letters (l) and, of a text whose stretches between ; | and line ends all are `Label: words`,
+# the sorted letters of its parts (p). Each round hands the smallest key on by l, then by p.
+_RECORDS = f"""
+WITH t AS (SELECT parent_asin, {_MID} AS mid, review_text AS t, list_filter(regexp_split_to_array(review_text, '[;|\\n]'), lambda x: regexp_matches(x, '[\\pL\\pN]')) AS bits
+  FROM movie_reviews WHERE review_text IS NOT NULL AND {_MID} IS NOT NULL),
+r0 AS (SELECT parent_asin, mid, {_BARE.format("t")} AS l, CASE WHEN len(bits) > 1 AND len(list_filter(bits, lambda x: NOT regexp_matches(x, '^[^\\pL\\pN]*[\\pL\\pN]+[^\\pL\\pN]*:'))) = 0
+    THEN array_to_string(list_sort(list_transform(bits, lambda x: {_BARE.format("x")})), chr(2)) END AS p, parent_asin AS f FROM t),
+r1 AS (SELECT * REPLACE (min(f) OVER (PARTITION BY mid, l) AS f) FROM r0), r2 AS (SELECT * REPLACE (CASE WHEN p IS NULL THEN f ELSE min(f) OVER (PARTITION BY mid, p) END AS f) FROM r1),
+r3 AS (SELECT * REPLACE (min(f) OVER (PARTITION BY mid, l) AS f) FROM r2), r4 AS (SELECT * REPLACE (CASE WHEN p IS NULL THEN f ELSE min(f) OVER (PARTITION BY mid, p) END AS f) FROM r3),
+records AS (SELECT * REPLACE (min(f) OVER (PARTITION BY mid, l) AS f) FROM r4)
 """
 SQL: dict[str, str] = {
-    "p5_found": _CANON + "SELECT g.first AS key_a, k.parent_asin AS key_b FROM canon k JOIN groups g USING (mid, c) WHERE k.parent_asin <> g.first",
-    "p5_collapsed": _CANON + "SELECT first AS parent_asin, mid AS id, copies FROM groups",
+    "p5_found": _RECORDS + "SELECT f AS key_a, parent_asin AS key_b FROM records WHERE parent_asin <> f",
+    "p5_collapsed": _RECORDS + "SELECT f AS parent_asin, mid AS id, count(*) AS copies FROM records GROUP BY ALL",
     "p6_found": f"""SELECT id, CAST(rnk AS INTEGER) AS rnk, parent_asin FROM (
   SELECT {_MID} AS id, parent_asin, row_number() OVER (PARTITION BY {_MID} ORDER BY sentiment_conf DESC, parent_asin) AS rnk
   FROM movie_reviews WHERE NOT isnan(sentiment_conf) AND sentiment_conf BETWEEN 0 AND 1 AND {_MID} IS NOT NULL) WHERE rnk <= 5""",

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainfold.llm import textvec as tv
-from grainfold.llm.copies import canonical_hash
+from grainfold.llm.copies import canonical_hash, classed, record_classes
 from grainfold.session import written
 
 
@@ -233,19 +233,20 @@ def _overlap(s: Similarity):
 
 @dataclass(frozen=True)
 class NearDuplicates:
-    """rows: (key, grp, doc, canon) of all texts long enough; links: (a, b) of distinct texts;
-    keys: (key) of all rows."""
+    """rows: (key, grp, doc, h1, h2) of all texts long enough, the last two hashes of the letters;
+    links: (a, b) of distinct texts; keys: (key) of all rows; classes: see record_classes."""
 
     rows: DataFrame
     links: DataFrame
     keys: DataFrame
+    classes: DataFrame
 
 
 def near_duplicates(df: DataFrame, key: Column, group: Column, text: Column, s: Similarity) -> NearDuplicates:
     """Links between distinct texts whose sets of word runs are similar enough, and membership.
 
     A text stands once in the index however many rows hold it; the rows come back through
-    `rows` (doc: the text's hash; canon: its hash without formatting). Null texts and texts
+    `rows` (doc: the text's hash). Null texts and texts
     with fewer than min_words words take no part. Repeated rows and ties change nothing;
     empty tables give no links; only the three given columns are read. Signatures can miss
     a pair: at the threshold itself the chance is (1 - p^rows * q)^bands, with p the
@@ -262,9 +263,8 @@ def near_duplicates(df: DataFrame, key: Column, group: Column, text: Column, s:
             yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"doc": [], "words": []}, dtype="int64")
 
     source = df.select(key.alias("key"), group.alias("grp"), text.alias("text")).where("text IS NOT NULL")
-    hashed = source.select("key", "grp", words_of("text").alias("w"), canonical_hash("text").alias("c"))
-    rows = hashed.where(F.col("w.words") >= max(s.min_words, s.run)).select("key", "grp", "w.doc", F.xxhash64("c.h1", "c.h2").alias("canon"))
-    rows = written(rows, "texts")
+    hashed = source.select("key", "grp", words_of("text").alias("w"), canonical_hash()("text").alias("c"))
+    rows = written(hashed.where(F.col("w.words") >= max(s.min_words, s.run)).select("key", "grp", "w.doc", "c.*"), "texts")
     pairs = written(candidates(postings(source.select("text"), s), s), "pairs")
     docs = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     holders = rows.join(docs, "doc").groupBy("doc").agg(F.min("key").alias("key"))
@@ -273,17 +273,20 @@ def near_duplicates(df: DataFrame, key: Column, group: Column, text: Column, s:
     shared = both.select("a", "b", _overlap(s)("text_a", "text_b").alias("o"))
     num, den = s.at_least.numerator, s.at_least.denominator
     links = shared.where((F.col("o.shared") * den >= F.col("o.total") * num) & (F.col("o.total") > 0)).select("a", "b")
-    return NearDuplicates(rows, written(links, "links"), df.select(key.alias("key")))
+    classes = record_classes(rows.where("grp IS NOT NULL"))
+    return NearDuplicates(rows.select("key", "grp", "doc", "h1", "h2"), written(links, "links"), df.select(key.alias("key")), classes)
 
 
 def expand_pairs(n: NearDuplicates) -> DataFrame:
-    """(key_a, key_b), key_a < key_b: linked rows, without copies (same group, same canonical text).
+    """(key_a, key_b), key_a < key_b: linked rows, without copies (same group, same record).
 
     Rows with the very same words pair up only if their groups differ or are null.
     """
     m = n.rows
-    a = m.select(F.col("doc").alias("a"), F.col("key").alias("ka"), F.col("grp").alias("ga"), F.col("canon").alias("ca"))
-    b = m.select(F.col("doc").alias("b"), F.col("key").alias("kb"), F.col("grp").alias("gb"), F.col("canon").alias("cb"))
+    linked = n.links.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    of = classed(m.join(linked, "doc"), n.classes).select("doc", "key", "grp", F.struct("c1", "c2").alias("record"))
+    a = of.select(F.col("doc").alias("a"), F.col("key").alias("ka"), F.col("grp").alias("ga"), F.col("record").alias("ca"))
+    b = of.select(F.col("doc").alias("b"), F.col("key").alias("kb"), F.col("grp").alias("gb"), F.col("record").alias("cb"))
     copy = F.coalesce((F.col("ga") == F.col("gb")) & (F.col("ca") == F.col("cb")), F.lit(False))
     apart = n.links.join(a, "a").join(b, "b").where(~copy)
     # The same words under several groups: only such texts are paired with themselves.
@@ -297,7 +300,7 @@ def expand_pairs(n: NearDuplicates) -> DataFrame:
     return both.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(doc, class): the smallest doc each linked doc is connected with.
 
     Large-star and small-star steps in turn, each stored in the shared folder; the number of
@@ -305,7 +308,7 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """
     edges = links.select("a", "b")
     mark = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
@@ -318,8 +321,6 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         if mark == tuple(now):
             break
         mark = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("doc"), F.col("b").alias("class")).unionByName(edges.select(F.col("b").alias("doc"), F.col("b").alias("class")).distinct())
 
 

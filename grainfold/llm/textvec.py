@@ -130,7 +130,7 @@ class Batch:
         return mix(h1), mix(h2 + _GOLD), kept
 
 
-_LABEL = re.compile(r"(?:^|[;|\n])[^\w;|\n]*([^\W_]+)[^\w;|\n]*:")
+_LABEL = re.compile(r"(?:^|[;|\n])(?:(?![;|\n])[\W_])*([^\W_]+)(?:(?![;|\n])[\W_])*:")
 _WORDCHAR = re.compile(r"[^\W_]")
 
 
