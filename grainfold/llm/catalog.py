@@ -108,13 +108,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _MID = "nullif(lower(trim(id)), '')"
 _BARE = "regexp_replace(lower({}), '[^\\pL\\pN]', '', 'g')"
-# Letters (l) and, of a text whose stretches between ; | and line ends all are `Label: words`,
-# the sorted letters of its parts (p). Each round hands the smallest key on by l, then by p.
+# Letters (l) and, of a text that begins with a label and has two or more, the sorted letters
+# of its parts (p): a part goes on to the next label behind ; | or a line end. Each round
+# hands the smallest key on by l, then by p.
 _RECORDS = f"""
-WITH t AS (SELECT parent_asin, {_MID} AS mid, review_text AS t, list_filter(regexp_split_to_array(review_text, '[;|\\n]'), lambda x: regexp_matches(x, '[\\pL\\pN]')) AS bits
+WITH t AS (SELECT parent_asin, {_MID} AS mid, review_text AS t,
+    string_split(regexp_replace(review_text, '(^|[;|\\n])([^\\pL\\pN;|\\n]*[\\pL\\pN]+[^\\pL\\pN;|\\n]*:)', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS bits
   FROM movie_reviews WHERE review_text IS NOT NULL AND {_MID} IS NOT NULL),
-r0 AS (SELECT parent_asin, mid, {_BARE.format("t")} AS l, CASE WHEN len(bits) > 1 AND len(list_filter(bits, lambda x: NOT regexp_matches(x, '^[^\\pL\\pN]*[\\pL\\pN]+[^\\pL\\pN]*:'))) = 0
-    THEN array_to_string(list_sort(list_transform(bits, lambda x: {_BARE.format("x")})), chr(2)) END AS p, parent_asin AS f FROM t),
+r0 AS (SELECT parent_asin, mid, {_BARE.format("t")} AS l, CASE WHEN len(bits) > 2 AND {_BARE.format("bits[1]")} = ''
+    THEN array_to_string(list_sort(list_transform(bits[2:], lambda x: {_BARE.format("x")})), chr(2)) END AS p, parent_asin AS f FROM t),
 r1 AS (SELECT * REPLACE (min(f) OVER (PARTITION BY mid, l) AS f) FROM r0), r2 AS (SELECT * REPLACE (CASE WHEN p IS NULL THEN f ELSE min(f) OVER (PARTITION BY mid, p) END AS f) FROM r1),
 r3 AS (SELECT * REPLACE (min(f) OVER (PARTITION BY mid, l) AS f) FROM r2), r4 AS (SELECT * REPLACE (CASE WHEN p IS NULL THEN f ELSE min(f) OVER (PARTITION BY mid, p) END AS f) FROM r3),
 records AS (SELECT * REPLACE (min(f) OVER (PARTITION BY mid, l) AS f) FROM r4)
