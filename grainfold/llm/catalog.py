@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from fractions import Fraction
 
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 from grainfold.llm import copies, neardup
 from grainfold.llm.leaks import leaks
 from grainfold.llm.mixing import Mixture, mix
-from grainfold.llm.splitting import Split, split_texts, token_totals
+from grainfold.llm.splitting import Split, own_stretches, split_files, split_texts
 from grainfold.llm.topn import top_n
 from grainfold.operators.skew import key_text
-from grainfold.session import table
+from grainfold.session import shared_dir, table
 
 REVIEW_SIMILARITY = neardup.Similarity(run=3, at_least=Fraction(1, 2), min_words=20)
 
@@ -85,13 +86,34 @@ def _docs(spark: SparkSession, d: str) -> tuple:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return token_totals(*_docs(spark, d)).where(F.col("tokens") > SPLIT.limit).select("doc_id")
+    """Texts above the limit are those that come out in more than one piece."""
+    return split_texts(*_docs(spark, d), bodies=False).where("piece = 2").select("doc_id")
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_texts(*_docs(spark, d))
 
 
+def _measures() -> list:
+    return [F.sum(F.octet_length("body")).alias("n_bytes"), F.sum(F.length("body")).alias("n_chars"), F.sum(F.length("body") - F.length(F.replace("body", F.lit("e"), F.lit("")))).alias("n_e")]
+
+
+def p10_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Of each text, cut in ranges of 4 KB: what its pieces hold besides the overlaps."""
+    docs, doc_id, text, _ = _docs(spark, d)
+    pieces = split_texts(docs, doc_id, text, Split(limit=256, overlap=32, range_bytes=4096, halo=1024))
+    return own_stretches(pieces).groupBy("doc_id").agg(*_measures())
+
+
+def p10_files(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the whole corpus laid down as text files, read by byte ranges."""
+    docs = table(spark, d, "documents").select("text").where("text IS NOT NULL AND text <> ''")
+    path = f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    docs.write.text(path)
+    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("doc_id"), "path")
+    return own_stretches(split_files(files, F.col("doc_id"), F.col("path"), SPLIT)).agg(*_measures())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_classes": p4_classes,
@@ -104,6 +126,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_pieces": p10_pieces,
+    "p10_whole": p10_whole,
+    "p10_files": p10_files,
 }
 
 _MID = "nullif(lower(trim(id)), '')"
@@ -121,7 +145,10 @@ r1 AS (SELECT * REPLACE (min(f) OVER (PARTITION BY mid, l) AS f) FROM r0), r2 AS
 r3 AS (SELECT * REPLACE (min(f) OVER (PARTITION BY mid, l) AS f) FROM r2), r4 AS (SELECT * REPLACE (CASE WHEN p IS NULL THEN f ELSE min(f) OVER (PARTITION BY mid, p) END AS f) FROM r3),
 records AS (SELECT * REPLACE (min(f) OVER (PARTITION BY mid, l) AS f) FROM r4)
 """
+_MEASURES = "CAST(sum(strlen({0})) AS BIGINT) AS n_bytes, CAST(sum(length({0})) AS BIGINT) AS n_chars, CAST(sum(length({0}) - length(replace({0}, 'e', ''))) AS BIGINT) AS n_e"
 SQL: dict[str, str] = {
+    "p10_whole": f"SELECT doc_id, {_MEASURES.format('text')} FROM documents WHERE text <> '' GROUP BY doc_id",
+    "p10_files": f"SELECT {_MEASURES.format('text || chr(10)')} FROM documents WHERE text <> ''",
     "p5_found": _RECORDS + "SELECT f AS key_a, parent_asin AS key_b FROM records WHERE parent_asin <> f",
     "p5_collapsed": _RECORDS + "SELECT f AS parent_asin, mid AS id, count(*) AS copies FROM records GROUP BY ALL",
     "p6_found": f"""SELECT id, CAST(rnk AS INTEGER) AS rnk, parent_asin FROM (

@@ -209,24 +209,50 @@ def test_pieces_cover_the_text(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 9)))
     long_ = "\n\n".join(". ".join(" ".join(word() for _ in range(12)) for _ in range(8)) + "." for _ in range(30))
-    docs = [(1, long_), (2, "short text"), (3, ""), (4, None), (5, "é" * 3000), (6, "x" * 5000 + " end"), (7, "  lead\n\n\n" + long_ + "  ")]
+    docs = [(1, long_), (2, "short text"), (3, ""), (4, None), (5, "é" * 3000), (6, "x" * 5000 + " end"), (7, "  lead\n\n\n" + long_ + "  "), (8, "größe\u00a0 und " + long_.replace(" ", "\u00a0 "))]
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, text string, piece int")
     e = tokens.encoding(tokens.default_path())
-    for s in (splitting.Split(), splitting.Split(limit=100, overlap=10, range_chars=700, halo=200)):
+    for s in (splitting.Split(), splitting.Split(limit=100, overlap=10, range_bytes=700, halo=200)):
         by = {}
         for r in splitting.split_texts(df, F.col("doc_id"), F.col("text"), s).collect():
             by.setdefault(r.doc_id, []).append(r)
-        assert set(by) == {1, 2, 5, 6, 7} and len(by[2]) == 1
-        for d, t in docs:
-            ps = sorted(by.get(d, []), key=lambda r: r.piece)
-            for a, b in zip(ps, ps[1:]):
-                assert a.first < b.first <= a.last < b.last
-                if d in (1, 7):
-                    assert s.overlap <= len(e.encode_ordinary(t[b.first : a.last])) <= s.overlap + 12 and t[a.last].isspace()
-            if ps:
-                assert ps[0].first == 0 and ps[-1].last == len(t) and all(p.body == t[p.first : p.last] and len(e.encode_ordinary(p.body)) <= s.limit for p in ps)
-    total = {r.doc_id: r.tokens for r in splitting.token_totals(df, F.col("doc_id"), F.col("text"), splitting.Split(range_chars=700, halo=200)).collect()}
-    assert total[1] == len(e.encode_ordinary(long_))
+        assert set(by) == {1, 2, 5, 6, 7, 8} and len(by[2]) == 1
+        check_pieces(docs, by, s, e)
+    small = splitting.Split(range_bytes=700, halo=200)
+    total = {r.doc_id: r.tokens for r in splitting.token_totals(df, F.col("doc_id"), F.col("text"), small).collect()}
+    assert total == {d: len(e.encode_ordinary(t)) for d, t in docs if t}
+    own = {}
+    for r in splitting.own_stretches(splitting.split_texts(df, F.col("doc_id"), F.col("text"), small)).orderBy("piece").collect():
+        own[r.doc_id] = own.get(r.doc_id, "") + r.body
+    assert own == {d: t for d, t in docs if t}
+
+
+def check_pieces(docs, by, s, e):
+    for d, t in docs:
+        raw = (t or "").encode()
+        ps = sorted(by.get(d, []), key=lambda r: r.piece)
+        assert [p.piece for p in ps] == list(range(1, len(ps) + 1))
+        for a, b in zip(ps, ps[1:]):
+            assert a.first < b.first <= a.last < b.last
+            if d in (1, 7, 8):
+                assert s.overlap <= len(e.encode_ordinary(raw[b.first : a.last].decode())) <= s.overlap + 12 and raw[a.last : a.last + 1].isspace()
+        if ps:
+            assert ps[0].first == 0 and ps[-1].last == len(raw) and all(p.body == raw[p.first : p.last].decode() and len(e.encode_ordinary(p.body)) <= s.limit for p in ps)
+
+
+def test_files_are_read_by_ranges(spark, tmp_path):
+    rng = random.Random(4)
+    texts = {1: " ".join(rng.choices(["word", "straße", "end.", "x\n\ny"], k=4000)), 2: "", 3: "z" * 9000 + " tail of words" * 300, 4: "short"}
+    for i, t in texts.items():
+        (tmp_path / f"{i}.txt").write_text(t, encoding="utf-8")
+    files = spark.createDataFrame([(i, f"file://{tmp_path}/{i}.txt", "x") for i in texts] + [(9, None, "x")], "doc_id bigint, uri string, body string")
+    s = splitting.Split(limit=100, overlap=10, range_bytes=2000, halo=300)
+    by = {}
+    for r in splitting.split_files(files, F.col("doc_id"), F.col("uri"), s).collect():
+        by.setdefault(r.doc_id, []).append(r)
+    assert set(by) == {1, 3, 4}
+    check_pieces([(i, t) for i, t in texts.items() if i != 3], by, s, tokens.encoding(tokens.default_path()))
+    assert sorted(by[3], key=lambda r: r.piece)[-1].last == len(texts[3]) and {r.doc_id: r.n for r in splitting.own_stretches(splitting.split_files(files, F.col("doc_id"), F.col("uri"), s)).groupBy("doc_id").agg(F.sum(F.length("body")).alias("n")).collect()} == {i: len(t) for i, t in texts.items() if t}
 
 
 def test_mixture_meets_targets_and_caps(spark):
