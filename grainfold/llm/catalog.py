@@ -146,7 +146,19 @@ r3 AS (SELECT * REPLACE (min(f) OVER (PARTITION BY mid, l) AS f) FROM r2), r4 AS
 records AS (SELECT * REPLACE (min(f) OVER (PARTITION BY mid, l) AS f) FROM r4)
 """
 _MEASURES = "CAST(sum(strlen({0})) AS BIGINT) AS n_bytes, CAST(sum(length({0})) AS BIGINT) AS n_chars, CAST(sum(length({0}) - length(replace({0}, 'e', ''))) AS BIGINT) AS n_e"
+_WORDS = "regexp_extract_all(lower({}), '[\\pL\\pN]+')"
+# Texts with the same words are compared once (d); links come from the runs that two of them share.
+_LINKED = f"""rw AS (SELECT parent_asin AS k, {_WORDS.format("review_text")} AS w FROM movie_reviews WHERE review_text IS NOT NULL),
+n AS (SELECT *, row_number() OVER () AS d, list_distinct(list_transform(range(1, len(w) - 1), lambda i: hash(w[i], w[i + 1], w[i + 2]))) AS runs FROM (SELECT DISTINCT w FROM rw WHERE len(w) >= 20)),
+rd AS (SELECT k, d FROM rw JOIN n USING (w)), s AS (SELECT d, unnest(runs) AS run FROM n),
+c AS (SELECT a.d AS a, b.d AS b, count(*) AS shared FROM s a JOIN s b ON a.run = b.run AND a.d < b.d GROUP BY ALL),
+links AS (SELECT a, b FROM c JOIN n x ON x.d = a JOIN n y ON y.d = b WHERE 2 * shared >= len(x.runs) + len(y.runs) - shared UNION ALL SELECT d, d FROM n)
+"""
+_RUNS13 = "SELECT {0}, array_to_string(w[k:k + 12], ' ') AS run FROM (SELECT {0}, w, unnest(range(1, len(w) - 11)) AS k FROM (SELECT {0}, {1} AS w FROM {2} WHERE {3} <> ''))"
 SQL: dict[str, str] = {
+    "p4_found": _RECORDS.rstrip() + ", " + _LINKED + """SELECT DISTINCT least(x.k, y.k) AS key_a, greatest(x.k, y.k) AS key_b FROM links l JOIN rd x ON x.d = l.a JOIN rd y ON y.d = l.b
+LEFT JOIN records p ON p.parent_asin = x.k LEFT JOIN records q ON q.parent_asin = y.k WHERE x.k <> y.k AND NOT coalesce(p.f = q.f, false)""",
+    "p8_found": f"""SELECT DISTINCT doc_id, item_id FROM ({_RUNS13.format("doc_id", _WORDS.format("text"), "documents", "text")}) JOIN ({_RUNS13.format("item_id", _WORDS.format("passage"), "eval_items", "passage")}) USING (run)""",
     "p10_whole": f"SELECT doc_id, {_MEASURES.format('text')} FROM documents WHERE text <> '' GROUP BY doc_id",
     "p10_files": f"SELECT {_MEASURES.format('text || chr(10)')} FROM documents WHERE text <> ''",
     "p5_found": _RECORDS + "SELECT f AS key_a, parent_asin AS key_b FROM records WHERE parent_asin <> f",

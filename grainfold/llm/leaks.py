@@ -1,9 +1,10 @@
 """Held-out passages inside a training corpus, found with a positional inverted index.
 
-For every run of `run` successive words of a passage the index needs one posting list
-only: that of the run's rarest word in the corpus. Each posting keeps the words around it
-(hashed), so the lists of all other words are intersected, offset-adjusted, on the spot:
-a passage word at offset k from the rare one must stand at offset k in the document too.
+The index is parted by documents: each worker turns its stretch of the corpus into posting
+lists (term, position), sorted, and answers every run of `run` successive passage words on
+them. A run with a term that has no list there is done with; for the others the lists are
+intersected, each moved by the term's offset in the run, from the rarest term on. So no
+posting ever leaves its worker, and a frequent term is never gathered in one place.
 
 Near matches have an index of their own, as an edited passage may lack its rarest words: of
 the words around a place of the passage so many may be missing, hence one more of the
@@ -15,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainfold.llm import textvec as tv
-from grainfold.session import written
 
 
 @dataclass(frozen=True)
@@ -34,7 +35,7 @@ class LeakSearch:
 
     run: int = 13
     near_share: float = 0.8
-    block_words: int = 500_000
+    block_words: int = 200_000
     piece_chars: int = 2_000_000
 
 
@@ -100,47 +101,58 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray, s: LeakSearch) -> d
     return {r["term"]: r["n"] for r in rows}
 
 
-def postings(docs: DataFrame, terms: np.ndarray, s: LeakSearch) -> DataFrame:
-    """(term, doc_id, around): the places of the given terms; around: the run - 1 words on
-    either side, the term itself in the middle, 0 beyond the text's ends."""
-    terms = np.unique(terms)
-    wing = s.run - 1
-    width = 2 * wing + 1
-    schema = pa.schema([("term", pa.int64()), ("doc_id", pa.int64()), ("around", pa.list_(pa.int64()))])
+#: Alignments that are intersected at a time.
+_ALIGNED = 1_000_000
+
+
+def phrase_matches(docs: DataFrame, items: list[tuple[int, np.ndarray]], s: LeakSearch) -> DataFrame | None:
+    """(doc_id, item_id, at): the passage words at places `at` that stand in the document in
+    runs of `run` or more; exact."""
+    items = [(i, w) for i, w in items if len(w) >= s.run]
+    if not items:
+        return None
+    vocab = np.unique(np.concatenate([w for _, w in items]))
+    runs = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.searchsorted(vocab, w), s.run) for _, w in items]).astype(np.int32)
+    item = np.repeat([i for i, _ in items], [len(w) - s.run + 1 for _, w in items])
+    place = np.concatenate([np.arange(len(w) - s.run + 1) for _, w in items])
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("at", pa.int32())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, words, counts in _slices(batches, s):
-            at = np.flatnonzero(_find(terms, words) >= 0)
-            if not len(at):
+            owner = np.repeat(np.arange(len(counts)), counts)
+            at = np.arange(len(words)) + s.run * owner  # a gap between texts: no run reaches over it
+            size = len(words) + s.run * len(counts) + s.run
+            term = _find(vocab, words)
+            known = np.flatnonzero(term >= 0)
+            # The posting lists of all terms, end to end: term * size + position.
+            lists = np.sort(term[known] * size + at[known])
+            lengths = np.bincount(term[known], minlength=len(vocab))
+            first = np.cumsum(lengths) - lengths
+            own = lengths[runs]
+            alive = np.flatnonzero(own.min(axis=1) > 0)
+            if not len(alive):
                 continue
-            ends = np.cumsum(counts)
-            owner = np.searchsorted(ends, at, side="right")
-            begins = (ends - counts)[owner]
-            grid = at[:, None] + np.arange(-wing, wing + 1)[None, :]
-            inside = (grid >= begins[:, None]) & (grid < ends[owner][:, None])
-            around = np.where(inside, words[np.clip(grid, 0, len(words) - 1)], 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * width + 1, width), pa.int32()), pa.array(around.ravel()))
-            yield pa.record_batch([pa.array(words[at]), pa.array(doc[owner]), lists], schema=schema)
-
-    return docs.mapInArrow(scan, "term bigint, doc_id bigint, around array<bigint>")
-
+            order = np.argsort(own[alive], axis=1, kind="stable")  # offsets in the run, rarest term first
+            terms = np.take_along_axis(runs[alive], order, axis=1).astype(np.int64)
+            upto = np.cumsum(lengths[terms[:, 0]])
+            cuts = np.unique(np.searchsorted(upto, np.arange(0, upto[-1] + _ALIGNED, _ALIGNED), side="right"))
+            for a, b in zip([0, *cuts], [*cuts, len(alive)]):
+                row, posting = _spread(first[terms[a:b, 0]], lengths[terms[a:b, 0]])
+                row += a
+                begin = lists[posting] - terms[row, 0] * size - order[row, 0]
+                for k in range(1, s.run):
+                    wanted = terms[row, k] * size + begin + order[row, k]
+                    found = np.searchsorted(lists, wanted)
+                    same = lists[np.minimum(found, len(lists) - 1)] == wanted
+                    row, begin = row[same], begin[same]
+                if not len(row):
+                    continue
+                r = alive[row]
+                whose = doc[owner[np.searchsorted(at, begin)]]
+                rows = np.unique(np.stack([np.repeat(whose, s.run), np.repeat(item[r], s.run), (place[r][:, None] + np.arange(s.run)).ravel()]), axis=1)
+                yield pa.record_batch([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32))], schema=schema)
 
-def _anchors(items: list[tuple[int, np.ndarray]], df: dict[int, int], s: LeakSearch) -> list[tuple[int, int, int, list[int]]]:
-    """(item, position, term, around) of the rarest word of each run; ties: the first. Runs
-    with a word the corpus lacks cannot occur in it and need no anchor."""
-    wing = s.run - 1
-    out = []
-    for item, words in items:
-        n = len(words)
-        freq = np.array([df.get(int(w), 0) for w in words], dtype=np.int64)
-        padded = np.concatenate([np.zeros(wing, np.int64), words, np.zeros(wing, np.int64)])
-        chosen = set()
-        for start in range(n - s.run + 1):
-            own = freq[start : start + s.run]
-            if own.min() > 0:
-                chosen.add(start + int(own.argmin()))
-        out += [(item, p, int(words[p]), padded[p : p + 2 * wing + 1].tolist()) for p in sorted(chosen)]
-    return out
+    return docs.mapInArrow(scan, "doc_id bigint, item_id bigint, at int")
 
 
 #: Successive places of a passage that are looked for together, and the most entries of the table of their words.
@@ -296,32 +308,14 @@ def leaks(docs: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_
     spark = docs.sparkSession
     d = docs.select(doc_id.cast("bigint").alias("doc_id"), text.alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
     it = items.select(item_id.cast("bigint").alias("item"), passage.alias("text")).where("item IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    schema = "item bigint, place int, term bigint, passage array<bigint>"
-    found = None
+    parts = []
     for block in _item_blocks(it, s):
-        df = document_frequencies(d, np.concatenate([w for _, w in block]), s)
-        parts = []
-        if anchors := _anchors(block, df, s):
-            terms = np.array(sorted({a[2] for a in anchors}), dtype=np.int64)
-            index = written(postings(d, terms, s), "postings")
-            parts.append(_intersect(index, spark.createDataFrame(anchors, schema), s))
-        if not phrases_only and (near := _near_index(block, df, s)):
+        phrases = phrase_matches(d, block, s)
+        parts.append(phrases.groupBy("doc_id", "item_id").agg(F.count_distinct("at").cast("int").alias("words")).select("doc_id", "item_id", F.lit("phrase").alias("kind"), "words"))
+        if not phrases_only and (near := _near_index(block, document_frequencies(d, np.concatenate([w for _, w in block]), s), s)):
             parts.append(near_matches(d, near, s))
-        for part in parts:
-            found = part if found is None else found.unionByName(part)
-    if found is None:
+    if not parts:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, kind string, words int")
-    best = found.groupBy("doc_id", "item_id").agg(F.max("kind").alias("kind"), F.max(F.struct("kind", "words")).alias("top"))
-    return best.select("doc_id", "item_id", "kind", F.col("top.words").alias("words"))
-
-
-def _intersect(index: DataFrame, anchors: DataFrame, s: LeakSearch) -> DataFrame:
-    wing = s.run - 1
-    same = F.zip_with("around", "passage", lambda a, b: (a == b) & (a != 0))
-    # left[k], right[k]: equal words on either side of the anchor without a gap.
-    reach = lambda flags: F.aggregate(flags, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda acc, x: F.struct((acc["n"] + F.when(acc["on"] & x, 1).otherwise(0)).alias("n"), (acc["on"] & x).alias("on")), lambda acc: acc["n"])
-    j = index.join(anchors, "term").withColumn("same", same)
-    j = j.withColumn("before", reach(F.reverse(F.slice("same", 1, wing)))).withColumn("after", reach(F.slice("same", wing + 2, wing)))
-    length = F.col("before") + F.col("after") + 1
-    phrase = j.where(length >= s.run).select("doc_id", F.col("item").alias("item_id"), F.explode(F.sequence(F.col("place") - F.col("before"), F.col("place") + F.col("after"))).alias("at"))
-    return phrase.groupBy("doc_id", "item_id").agg(F.count_distinct("at").cast("int").alias("words")).select("doc_id", "item_id", F.lit("phrase").alias("kind"), "words")
+    found = reduce(DataFrame.unionByName, parts)
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("kind", "words")).alias("top"))
+    return best.select("doc_id", "item_id", "top.kind", "top.words")
