@@ -134,10 +134,10 @@ def text_block_q(s, d):
     return reviews(s, d, "title", "features", "description").select("parent_asin", text_block(F.col("title"), F.col("features"), F.col("description")).alias("block"))
 
 
-@query("listing_block", """SELECT parent_asin, concat_ws(chr(10), title, CASE WHEN len(list_filter(features[1:1], lambda x: x IS NOT NULL AND x <> '')) > 0 THEN '- ' || features[1] END,
-  CASE WHEN len(features) > 1 THEN '(' || CAST(len(features) - 1 AS VARCHAR) || ' more omitted)' END, 'Image: ' || image_url) AS block FROM movie_reviews""")
+@query("listing_block", """SELECT parent_asin, concat_ws(chr(10), title, CASE WHEN len(list_filter(features[1:12], lambda x: x IS NOT NULL AND x <> '')) > 0 THEN array_to_string(list_transform(list_filter(features[1:12], lambda x: x IS NOT NULL AND x <> ''), lambda x: '- ' || x), chr(10)) END,
+  CASE WHEN len(features) > 12 THEN '(' || CAST(len(features) - 12 AS VARCHAR) || ' more omitted)' END, 'Image: ' || image_url) AS block FROM movie_reviews""")
 def listing_block_q(s, d):
-    return reviews(s, d, "title", "features", "image_url").select("parent_asin", listing_block(F.col("title"), F.col("features"), F.col("image_url"), 1).alias("block"))
+    return reviews(s, d, "title", "features", "image_url").select("parent_asin", listing_block(F.col("title"), F.col("features"), F.col("image_url")).alias("block"))
 
 
 @query("multi_source_text", f"""WITH r AS (SELECT {_MID} AS mid, parent_asin, critic_name FROM movie_reviews WHERE critic_name IS NOT NULL)
@@ -593,25 +593,23 @@ def dedup_keep_first(s, d):
 
 _RANKED = f"c AS (SELECT {_MID} AS mid, count(*) AS n FROM movie_reviews GROUP BY 1), k AS (SELECT mid, n FROM c JOIN movies m ON m.id = c.mid)"
 _MOVIE_A = f"WITH {_RANKED} SELECT mid FROM k ORDER BY n DESC, mid LIMIT 1"
-_MOVIE_B = f"WITH {_RANKED} SELECT mid FROM k WHERE n <= 100 ORDER BY n DESC, mid LIMIT 1"
 
 
-def _movie(s, d, most: int | None) -> DataFrame:
-    """One row: the known movie with most reviews (of those with at most `most`)."""
+def _movie(s, d) -> DataFrame:
+    """One row: the known movie with most reviews."""
     n = table(s, d, "movie_reviews").select(key_text("id").alias("mid")).groupBy("mid").agg(F.count(F.lit(1)).alias("n"))
     k = n.join(table(s, d, "movies").select(F.col("id").alias("mid")), "mid", "left_semi")
-    k = k.where(F.col("n") <= most) if most else k
     return k.orderBy(F.col("n").desc(), "mid").limit(1).select(F.col("mid").alias("__mid"))
 
 
-def _of_movie(s, d, most: int | None, *cols: str) -> DataFrame:
+def _of_movie(s, d, *cols: str) -> DataFrame:
     r = table(s, d, "movie_reviews").select("parent_asin", key_text("id").alias("mid"), *cols)
-    one = F.broadcast(_movie(s, d, most))  # one row
+    one = F.broadcast(_movie(s, d))  # one row
     return r.join(one, r["mid"] == one["__mid"], "left_semi")
 
 
-def _tagged(s, d, most: int | None, slug: str = POS) -> DataFrame:
-    r = _of_movie(s, d, most, "review_text").select("mid", "parent_asin", JUDGE.twice(slug, 3).alias("twice"))
+def _tagged(s, d, slug: str = POS) -> DataFrame:
+    r = _of_movie(s, d, "review_text").select("mid", "parent_asin", JUDGE.twice(slug, 3).alias("twice"))
     v = JUDGE.verdict(slug, Step(3), True, F.col("twice"))
     return r.select("mid", "parent_asin", v["direction"].alias("tag"), v["confidence"].alias("conf"))
 
@@ -620,32 +618,36 @@ def _tags_sql(movie: str) -> str:
     return f"SELECT {_MID} AS mid, parent_asin, {_dir(POS, 6, True)} AS tag, {_conf(POS, 6)} AS conf FROM movie_reviews WHERE {_MID} = ({movie})"
 
 
-def _pairs_sql(op: str, order: str | None) -> str:
-    base = f"""WITH t AS ({_tags_sql(_MOVIE_B)}), p AS (SELECT DISTINCT a.mid, a.parent_asin AS rid1, b.parent_asin AS rid2, least(a.conf, b.conf) AS pair_conf
+def _pairs_sql(op: str, order: str) -> str:
+    return f"""WITH t AS ({_tags_sql(_MOVIE_A)}), p AS (SELECT DISTINCT a.mid, a.parent_asin AS rid1, b.parent_asin AS rid2, least(a.conf, b.conf) AS pair_conf
  FROM t a JOIN t b ON a.mid = b.mid AND a.parent_asin < b.parent_asin AND a.tag {op} b.tag), q AS (SELECT *, row_number() OVER (PARTITION BY rid1 ORDER BY rid2) AS rn FROM p)
-SELECT mid AS id, rid1, rid2 FROM q"""
-    return base + (f" ORDER BY {order} LIMIT 10" if order else "")
+SELECT mid AS id, rid1, rid2 FROM q ORDER BY {order} LIMIT 10"""
 
 
-def _pairs(same: bool, order: list | None) -> Query:
-    def run(s, d):
-        p = relational.pair_rows(_tagged(s, d, 100), "mid", "parent_asin", "tag", "conf", same)
-        p = p.orderBy(*order).limit(10) if order else p
-        return p.select(F.col("mid").alias("id"), "rid1", "rid2")
+def _pairs(same: bool, conf: str | None) -> Query:
+    """The first ten pairs of the movie with most reviews, found without listing its pairs."""
+    return lambda s, d: relational.first_pairs(_tagged(s, d), "mid", "parent_asin", "tag", conf, same).select(F.col("mid").alias("id"), "rid1", "rid2")
 
-    return run
+
+query("pairs_same_id", _pairs_sql("=", "rn, rid1, rid2"))(_pairs(True, None))
+query("pairs_opposite_id", _pairs_sql("<>", "rn, rid1, rid2"))(_pairs(False, None))
+query("pairs_opposite_conf", _pairs_sql("<>", "pair_conf DESC, rn, rid1, rid2"))(_pairs(False, "conf"))
 
 
-_BY_ID, _BY_CONF = ["rn", "rid1", "rid2"], [F.desc, "rn", "rid1", "rid2"]
-query("pairs_same_id", _pairs_sql("=", "rn, rid1, rid2"))(_pairs(True, _BY_ID))
-query("pairs_opposite_id", _pairs_sql("<>", "rn, rid1, rid2"))(_pairs(False, _BY_ID))
-query("pairs_all", _pairs_sql("<>", None))(_pairs(False, None))
+@query("pairs_all", f"""WITH t AS ({_tags_sql(_MOVIE_A)}), p AS (SELECT a.parent_asin AS k, count(*) AS n FROM t a JOIN t b ON a.tag <> b.tag GROUP BY 1)
+SELECT mid AS id, parent_asin, tag, coalesce(n, 0) AS n_opposite FROM t LEFT JOIN p ON k = parent_asin""")
+def pairs_all(s, d):
+    """All opposite pairs of the movie with most reviews, as each review with its class and its
+    number of partners: the pairs are every review of one class with every one of the other."""
+    return relational.pair_partners(_tagged(s, d), "mid", "parent_asin", "tag").select(F.col("mid").alias("id"), "parent_asin", "tag", "n_opposite")
 
 
-@query("pairs_opposite_conf", _pairs_sql("<>", "pair_conf DESC, rn, rid1, rid2"))
-def pairs_opposite_conf(s, d):
-    p = relational.pair_rows(_tagged(s, d, 100), "mid", "parent_asin", "tag", "conf", False)
-    return p.orderBy(F.col("pair_conf").desc(), "rn", "rid1", "rid2").limit(10).select(F.col("mid").alias("id"), "rid1", "rid2")
+@query("pairs_ordered", f"""WITH t AS ({_tags_sql(_MOVIE_A)}) SELECT a.tag AS tag1, b.tag AS tag2, count(*) AS n FROM t a JOIN t b ON a.parent_asin <> b.parent_asin GROUP BY 1, 2""")
+def pairs_ordered(s, d):
+    """Ordered pairs (a, b), a <> b, of the movie with most reviews by the classes of both."""
+    n = _tagged(s, d).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    x, y = n.select(F.col("tag").alias("tag1"), F.col("n").alias("n1")), n.select(F.col("tag").alias("tag2"), F.col("n").alias("n2"))
+    return x.join(y, F.lit(True)).select("tag1", "tag2", (F.col("n1") * (F.col("n2") - (F.col("tag1") == F.col("tag2")).cast("int"))).alias("n")).where("n > 0")  # two rows each
 
 
 @query("pair_counts", f"""WITH g AS (SELECT {_MID} AS id, count(*) FILTER (WHERE {_dir(POS, 6, True)}) AS t, count(*) FILTER (WHERE NOT {_dir(POS, 6, True)}) AS f FROM movie_reviews GROUP BY 1)
@@ -657,16 +659,13 @@ def pair_counts(s, d):
     return relational.pair_counts(r, "id", "tag")
 
 
-@query("semantic_join_baseline", f"""WITH t AS ({_tags_sql(_MOVIE_B)}) SELECT count(*) FILTER (WHERE a.tag = b.tag) AS n_same, count(*) FILTER (WHERE a.tag <> b.tag) AS n_opposite, count(*) AS judged
+@query("semantic_join_baseline", f"""WITH t AS ({_tags_sql(_MOVIE_A)}) SELECT count(*) FILTER (WHERE a.tag = b.tag) AS n_same, count(*) FILTER (WHERE a.tag <> b.tag) AS n_opposite, count(*) AS judged
 FROM t a JOIN t b ON a.mid = b.mid AND a.parent_asin < b.parent_asin""")
 def semantic_join_baseline(s, d):
-    """Every pair of one movie of bounded size judged as a pair; kept to compare with the collapse."""
-    t = _of_movie(s, d, 100, "review_text")
-    v = JUDGE.verdict(POS, Step(3), True)["direction"]
-    x = t.select("mid", F.col("parent_asin").alias("ka"), v.alias("ta"))
-    y = t.select("mid", F.col("parent_asin").alias("kb"), v.alias("tb"))
-    j = x.join(y, "mid").where("ka < kb")
-    return j.agg(F.count_if(F.col("ta") == F.col("tb")).alias("n_same"), F.count_if(F.col("ta") != F.col("tb")).alias("n_opposite"), F.count(F.lit(1)).alias("judged"))
+    """What judging every pair of the movie with most reviews comes to. The pair predicate
+    factors through one judgement per review, so the pairs are counted, not formed."""
+    n = _tagged(s, d).groupBy("mid").agg(F.count_if("tag").alias("t"), F.count_if(~F.col("tag")).alias("f"))
+    return n.select(F.expr("t * (t - 1) div 2 + f * (f - 1) div 2").alias("n_same"), F.expr("t * f").alias("n_opposite"), F.expr("(t + f) * (t + f - 1) div 2").alias("judged"))
 
 
 # The same for every movie, whatever its size: no pairs are listed but the ten asked for.
@@ -801,14 +800,23 @@ def metric_counts(s, d):
     return metrics.count_error(by("sys"), by("gold"), "k", "n")
 
 
-@query("metric_pairs", f"""WITH t AS (SELECT parent_asin AS k, {_GOLD} AS g, {_dir(POS, 6, True)} AS s FROM movie_reviews WHERE {_MID} = ({_MOVIE_B})),
+@query("metric_pairs", f"""WITH t AS (SELECT parent_asin AS k, {_GOLD} AS g, {_dir(POS, 6, True)} AS s FROM movie_reviews WHERE {_MID} = ({_MOVIE_A})),
 p AS (SELECT a.s <> b.s AS s, a.g <> b.g AS g FROM t a JOIN t b ON a.k < b.k), n AS (SELECT count(*) FILTER (WHERE s) AS ns, count(*) FILTER (WHERE g) AS nt, count(*) FILTER (WHERE s AND g) AS hit FROM p),
 m AS (SELECT CASE WHEN ns = 0 THEN CASE WHEN nt = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE CAST(hit AS DOUBLE) / ns END AS precision, CASE WHEN nt = 0 THEN 0.0::DOUBLE ELSE CAST(hit AS DOUBLE) / nt END AS recall, ns, nt FROM n)
 SELECT precision, recall, CASE WHEN ns = 0 OR nt = 0 OR precision + recall = 0 THEN 0.0::DOUBLE ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM m""")
 def metric_pairs(s, d):
-    r = _of_movie(s, d, 100, "review_text", "sentiment").withColumn("gold", F.upper(F.trim("sentiment")) == "POSITIVE").withColumn("sys", JUDGE.verdict(POS, Step(3), True)["direction"]).withColumn("one", F.lit(1.0))
-    pairs = lambda c: relational.pair_rows(r, "mid", "parent_asin", c, "one", False).select(F.concat_ws("|", "mid", "rid1", "rid2").alias("pair"))
-    return metrics.retrieval(pairs("sys"), pairs("gold"), "pair", None)
+    """Of the movie with most reviews, from products of class counts."""
+    return _pair_metrics(_of_movie(s, d, "review_text", "sentiment").withColumn("gold", F.upper(F.trim("sentiment")) == "POSITIVE").withColumn("sys", JUDGE.verdict(POS, Step(3), True)["direction"]), "mid").drop("mid")
+
+
+def _pair_metrics(r: DataFrame, group: str) -> DataFrame:
+    cell = {f"{a}{b}": F.count_if((F.col("sys") == (a == "t")) & (F.col("gold") == (b == "t"))) for a in "tf" for b in "tf"}
+    n = r.groupBy(group).agg(*[v.alias(k) for k, v in cell.items()], F.count_if("sys").alias("st"), F.count_if(~F.col("sys")).alias("sf"))
+    n = n.select(group, F.expr("st * sf").alias("ns"), F.expr("(tt + ft) * (tf + ff)").alias("nt"), F.expr("tt * ff + tf * ft").alias("hit"))
+    ns, nt, hit = (F.col(c) for c in ("ns", "nt", "hit"))
+    n = n.select(group, "ns", "nt", F.when(ns == 0, (nt == 0).cast("double")).otherwise(hit.cast("double") / ns).alias("precision"), F.when(nt == 0, 0.0).otherwise(hit.cast("double") / nt).alias("recall"))
+    p, q = F.col("precision"), F.col("recall")
+    return n.select(group, p, q, F.when((ns == 0) | (nt == 0) | (p + q == 0), 0.0).otherwise(2 * p * q / (p + q)).alias("f1"))
 
 
 @query("metric_pairs_by_movie", f"""WITH t AS (SELECT {_MID} AS id, parent_asin AS k, {_GOLD} AS g, {_dir(POS, 6, True)} AS s FROM movie_reviews WHERE {_MID} IS NOT NULL),
@@ -818,14 +826,7 @@ m AS (SELECT id, CASE WHEN ns = 0 THEN CASE WHEN nt = 0 THEN 1.0::DOUBLE ELSE 0.
 SELECT id, precision, recall, CASE WHEN ns = 0 OR nt = 0 OR precision + recall = 0 THEN 0.0::DOUBLE ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM m""")
 def metric_pairs_by_movie(s, d):
     """metric_pairs of every movie, from products of class counts."""
-    r = _gold(s, d).select(key_text("id").alias("id"), "gold", "sys").where("id IS NOT NULL")
-    cell = {f"{a}{b}": F.count_if((F.col("sys") == (a == "t")) & (F.col("gold") == (b == "t"))) for a in "tf" for b in "tf"}
-    n = r.groupBy("id").agg(*[v.alias(k) for k, v in cell.items()], F.count_if("sys").alias("st"), F.count_if(~F.col("sys")).alias("sf"))
-    n = n.select("id", F.expr("st * sf").alias("ns"), F.expr("(tt + ft) * (tf + ff)").alias("nt"), F.expr("tt * ff + tf * ft").alias("hit"))
-    ns, nt, hit = (F.col(c) for c in ("ns", "nt", "hit"))
-    n = n.select("id", "ns", "nt", F.when(ns == 0, (nt == 0).cast("double")).otherwise(hit.cast("double") / ns).alias("precision"), F.when(nt == 0, 0.0).otherwise(hit.cast("double") / nt).alias("recall"))
-    p, q = F.col("precision"), F.col("recall")
-    return n.select("id", p, q, F.when((ns == 0) | (nt == 0) | (p + q == 0), 0.0).otherwise(2 * p * q / (p + q)).alias("f1"))
+    return _pair_metrics(_gold(s, d).select(key_text("id").alias("id"), "gold", "sys").where("id IS NOT NULL"), "id")
 
 
 _XY = f"""xy AS (SELECT m.audience_score AS x, g.n AS y FROM movies m JOIN (SELECT {_MID} AS mid, CAST(100 * count(*) FILTER (WHERE {_dir(POS, 6, True)}) // count(*) AS BIGINT) AS n FROM movie_reviews GROUP BY 1) g ON g.mid = m.id
@@ -869,17 +870,17 @@ def q2(s, d):
     # Sorted by the key with the judgement as a column: a filter would be pushed below the
     # movie's join and judge every review.
     best = F.when(F.col("tag"), F.col("parent_asin"))
-    return _tagged(s, d, None).select(best.alias("parent_asin")).orderBy(F.col("parent_asin").asc_nulls_last()).limit(5).where("parent_asin IS NOT NULL")
+    return _tagged(s, d).select(best.alias("parent_asin")).orderBy(F.col("parent_asin").asc_nulls_last()).limit(5).where("parent_asin IS NOT NULL")
 
 
 @query("q3", f"WITH t AS ({_tags_sql(_MOVIE_A)}) SELECT count(*) FILTER (WHERE tag) AS n FROM t")
 def q3(s, d):
-    return _tagged(s, d, None).agg(F.count_if("tag").alias("n"))
+    return _tagged(s, d).agg(F.count_if("tag").alias("n"))
 
 
 @query("q4", f"WITH t AS ({_tags_sql(_MOVIE_A)}) SELECT round(CAST(count(*) FILTER (WHERE tag) AS DOUBLE) / count(*), 6) AS ratio FROM t")
 def q4(s, d):
-    return _tagged(s, d, None).agg(F.count_if("tag").alias("t"), F.count(F.lit(1)).alias("n")).select(relational.ratio(F.col("t"), F.col("n")).alias("ratio"))
+    return _tagged(s, d).agg(F.count_if("tag").alias("t"), F.count(F.lit(1)).alias("n")).select(relational.ratio(F.col("t"), F.col("n")).alias("ratio"))
 
 
 query("q5", SQL["pairs_same_id"])(QUERIES["pairs_same_id"])
@@ -889,12 +890,12 @@ query("q7", SQL["pairs_all"])(QUERIES["pairs_all"])
 
 @query("q8", f"WITH t AS ({_tags_sql(_MOVIE_A)}) SELECT CASE WHEN tag THEN 'POSITIVE' ELSE 'NEGATIVE' END AS sentiment, count(*) AS n FROM t GROUP BY 1")
 def q8(s, d):
-    return _tagged(s, d, None).groupBy(F.when(F.col("tag"), "POSITIVE").otherwise("NEGATIVE").alias("sentiment")).agg(F.count(F.lit(1)).alias("n"))
+    return _tagged(s, d).groupBy(F.when(F.col("tag"), "POSITIVE").otherwise("NEGATIVE").alias("sentiment")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q9", f"WITH t AS ({_tags_sql(_MOVIE_B)}) SELECT parent_asin, round(1.0::DOUBLE + 4.0::DOUBLE * CASE WHEN tag THEN conf ELSE 1.0::DOUBLE - conf END, 4) AS score FROM t")
+@query("q9", f"WITH t AS ({_tags_sql(_MOVIE_A)}) SELECT parent_asin, round(1.0::DOUBLE + 4.0::DOUBLE * CASE WHEN tag THEN conf ELSE 1.0::DOUBLE - conf END, 4) AS score FROM t")
 def q9(s, d):
-    return _tagged(s, d, 100).select("parent_asin", verdicts.score(F.col("tag"), F.col("conf"), F.lit(True)).alias("score"))
+    return _tagged(s, d).select("parent_asin", verdicts.score(F.col("tag"), F.col("conf"), F.lit(True)).alias("score"))
 
 
 @query("review_scores", f"WITH t AS ({_ALL_TAGS}) SELECT mid AS id, parent_asin, round(1.0::DOUBLE + 4.0::DOUBLE * CASE WHEN tag THEN conf ELSE 1.0::DOUBLE - conf END, 4) AS score FROM t")
