@@ -18,6 +18,7 @@ from grainfold.operators import metrics, relational
 from grainfold.operators.skew import key_text
 from grainfold.plans import tags
 from grainfold.plans.cascade import CascadePlan, kill_rates, one_plan, read_rates, staged
+from grainfold.plans.planner import judge_until
 from grainfold.plans.judges import RecordedSource, VectorSource, WordQuestions
 from grainfold.plans.specs import CascadeConfig, Step, single_stage, text_only, trim_routes
 from grainfold.session import table, written
@@ -140,18 +141,6 @@ def listing_block_q(s, d):
     return reviews(s, d, "title", "features", "image_url").select("parent_asin", listing_block(F.col("title"), F.col("features"), F.col("image_url")).alias("block"))
 
 
-@query("multi_source_text", f"""WITH r AS (SELECT {_MID} AS mid, parent_asin, critic_name FROM movie_reviews WHERE critic_name IS NOT NULL)
-SELECT m.id, m.title, coalesce(string_agg('- ' || r.critic_name, chr(10) ORDER BY r.parent_asin), '(no rows matched)') AS critics FROM movies m LEFT JOIN r ON r.mid = m.id GROUP BY m.id, m.title""")
-def multi_source_text(s, d):
-    """Movies with the critics' names as bullets. The list per movie is as long as the movie has
-    critics on record: short strings, of which even the largest movie holds few megabytes."""
-    r = reviews(s, d, "id", "critic_name").where("critic_name IS NOT NULL").select(key_text("id").alias("mid"), "parent_asin", "critic_name")
-    per = r.groupBy("mid").agg(F.sort_array(F.collect_list(F.struct("parent_asin", "critic_name"))).alias("rows"))
-    m = table(s, d, "movies").select("id", "title")
-    lines = F.array_join(F.transform("rows", lambda x: F.concat(F.lit("- "), x["critic_name"])), "\n")
-    return m.join(per, m["id"] == per["mid"], "left").select("id", "title", F.coalesce(lines, F.lit("(no rows matched)")).alias("critics"))
-
-
 @query("token_estimate", "SELECT parent_asin, CAST(length(review_text) // 4 AS INTEGER) AS tokens FROM movie_reviews WHERE review_text IS NOT NULL")
 def token_estimate_q(s, d):
     return reviews(s, d, "review_text").where("review_text IS NOT NULL").select("parent_asin", token_estimate(F.col("review_text")).alias("tokens"))
@@ -413,13 +402,6 @@ def cascade_recorded(s, d):
     return staged(r.select("parent_asin"), "parent_asin", r.select("parent_asin"), plan(POS), RecordedSource(rec)).state.select("parent_asin", "answer")
 
 
-@query("dry_run_upper_bound", "SELECT CAST(3 * count(*) AS BIGINT) AS calls FROM movie_reviews")
-def dry_run_upper_bound(s, d):
-    """Calls if no answer ever settled before the last step: rows times steps."""
-    steps = plan(POS).steps()
-    return reviews(s, d).agg((F.count(F.lit(1)) * steps).alias("calls"))
-
-
 @query("kill_rates", f"""WITH v AS (SELECT CASE WHEN {_conf(POS, 2)} >= 0.7 THEN {_dir(POS, 2)} END AS p, CASE WHEN {_conf(ACT, 2)} >= 0.7 THEN {_dir(ACT, 2)} END AS a FROM movie_reviews)
 SELECT '{POS}' AS predicate, CAST(count(*) FILTER (WHERE p) AS DOUBLE) / count(*) AS k_true, CAST(count(*) FILTER (WHERE NOT p) AS DOUBLE) / count(*) AS k_false, count(*) AS n FROM v
 UNION ALL SELECT '{ACT}', CAST(count(*) FILTER (WHERE a) AS DOUBLE) / count(*), CAST(count(*) FILTER (WHERE NOT a) AS DOUBLE) / count(*), count(*) FROM v""")
@@ -744,11 +726,6 @@ def call_rollup(s, d):
     return snap(s, d).groupBy("predicate_canon").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct(batch).alias("batches"), F.count_distinct("parent_asin").alias("n_rows"), F.sum(cost).alias("cost_e5"))
 
 
-@query("attributed_share", f"""WITH {_SNAP} SELECT parent_asin, predicate_canon, 1.0::DOUBLE / count(*) OVER (PARTITION BY parent_asin) AS share FROM snap""")
-def attributed_share(s, d):
-    return snap(s, d).select("parent_asin", "predicate_canon", (F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy("parent_asin"))).alias("share"))
-
-
 @query("p95_nearest_rank", f"""WITH v AS (SELECT coalesce(outlet, '') AS outlet, length(review_text) AS n FROM movie_reviews WHERE review_text IS NOT NULL),
 k AS (SELECT *, row_number() OVER (PARTITION BY outlet ORDER BY n) - 1 AS r, count(*) OVER (PARTITION BY outlet) AS m FROM v) SELECT outlet, CAST(n AS INTEGER) AS p95 FROM k WHERE r = CAST(floor(0.95::DOUBLE * (m - 1)) AS BIGINT)""")
 def p95_nearest_rank(s, d):
@@ -859,10 +836,15 @@ def metric_kendall(s, d):
 
 @query("q1", f"SELECT parent_asin FROM movie_reviews WHERE {_P} AND {_N} = false ORDER BY parent_asin LIMIT 5")
 def q1(s, d):
-    """Five clearly positive reviews of any movie: positive, and not negative."""
-    c = one_plan(_cascade(s, d, POS).drop("answer", *[f"calls_t{t}" for t in (1, 2, 3)]), plan(NEG), JUDGE)
-    best = F.when(F.col(f"known_{POS}") & ~F.col(f"known_{NEG}"), F.col("parent_asin"))
-    return c.select(best.alias("parent_asin")).orderBy(F.col("parent_asin").asc_nulls_last()).limit(5).where("parent_asin IS NOT NULL")
+    """Five clearly positive reviews of any movie: positive, and not negative. Reviews are
+    judged in the order of their keys, block by block, until there are five."""
+
+    def judge(part: DataFrame) -> tuple[DataFrame, int]:
+        c = one_plan(one_plan(part, plan(POS), JUDGE).drop("answer", *[f"calls_t{t}" for t in (1, 2, 3)]), plan(NEG), JUDGE)
+        return written(c.select("parent_asin", (F.col(f"known_{POS}") & ~F.col(f"known_{NEG}")).alias("answer")), "judged"), 0
+
+    state, _ = judge_until(reviews(s, d, "review_text"), "parent_asin", judge, 5)
+    return state.where("answer").select("parent_asin").orderBy("parent_asin").limit(5)
 
 
 @query("q2", f"WITH t AS ({_tags_sql(_MOVIE_A)}) SELECT parent_asin FROM t WHERE tag ORDER BY parent_asin LIMIT 5")
@@ -888,9 +870,13 @@ query("q6", SQL["pairs_opposite_id"])(QUERIES["pairs_opposite_id"])
 query("q7", SQL["pairs_all"])(QUERIES["pairs_all"])
 
 
-@query("q8", f"WITH t AS ({_tags_sql(_MOVIE_A)}) SELECT CASE WHEN tag THEN 'POSITIVE' ELSE 'NEGATIVE' END AS sentiment, count(*) AS n FROM t GROUP BY 1")
+@query("q8", f"""WITH t AS ({_tags_sql(_MOVIE_A)}) SELECT sentiment, count(t.parent_asin) AS n FROM (SELECT unnest(['POSITIVE', 'NEGATIVE']) AS sentiment) c
+LEFT JOIN t ON sentiment = CASE WHEN tag THEN 'POSITIVE' ELSE 'NEGATIVE' END GROUP BY 1""")
 def q8(s, d):
-    return _tagged(s, d).groupBy(F.when(F.col("tag"), "POSITIVE").otherwise("NEGATIVE").alias("sentiment")).agg(F.count(F.lit(1)).alias("n"))
+    """Reviews by class; a class without reviews counts 0."""
+    n = _tagged(s, d).groupBy(F.when(F.col("tag"), "POSITIVE").otherwise("NEGATIVE").alias("sentiment")).agg(F.count(F.lit(1)).alias("n"))
+    classes = s.createDataFrame([("POSITIVE",), ("NEGATIVE",)], "sentiment string")
+    return classes.join(n, "sentiment", "left").select("sentiment", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("q9", f"WITH t AS ({_tags_sql(_MOVIE_A)}) SELECT parent_asin, round(1.0::DOUBLE + 4.0::DOUBLE * CASE WHEN tag THEN conf ELSE 1.0::DOUBLE - conf END, 4) AS score FROM t")

@@ -61,12 +61,16 @@ def mini_filter(column: str, spec: str) -> Column:
     return c == F.lit(coerce(s))
 
 
+#: The operators of structural conditions.
+COMPARISONS = ("<", "<=", ">", ">=", "=", "!=", "LIKE")
+
+
 def compare(column: str, op: str, value: object) -> Column:
     """A structural condition: < <= > >= = != LIKE."""
+    if op.upper() not in COMPARISONS:
+        raise ValueError(f"unknown operator {op}")
     c, v = F.col(column), F.lit(value)
     table = {"<": lambda: c < v, "<=": lambda: c <= v, ">": lambda: c > v, ">=": lambda: c >= v, "=": lambda: c == v, "!=": lambda: c != v, "LIKE": lambda: c.like(str(value))}
-    if op.upper() not in table:
-        raise ValueError(f"unknown operator {op}")
     return table[op.upper()]()
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainfold.operators.relational import global_rank, running_total
+
 
 def retrieval(system: DataFrame, truth: DataFrame, key: str, k: int | None, order: Sequence[Column] = ()) -> DataFrame:
     """One row: precision, recall and f1 of the first k of system (all, if k is None).
@@ -50,8 +52,7 @@ def _cells(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def _average_rank(cells: DataFrame, v: str) -> DataFrame:
     per = cells.groupBy(v).agg(F.sum("n").alias("m"))
-    upto = F.sum("m").over(Window.orderBy(v).rowsBetween(Window.unboundedPreceding, 0))  # over distinct values
-    return per.select(v, (upto - (F.col("m") - 1) / 2).alias(f"r{v}"))
+    return running_total(per, [v], "m", "upto").select(v, (F.col("upto") - (F.col("m") - 1) / 2).alias(f"r{v}"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -69,20 +70,41 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: Kendall's tau-b, from running sums over the grid of distinct values."""
+    """One row: Kendall's tau-b, exact, in n log m steps for m distinct values of y.
+
+    Two values of y first differ at one bit of their ranks. So at each bit, rows are grouped by
+    the bits above; those with a one count the rows with a zero before and behind them in x.
+    """
     c = _cells(df, x, y)
-    xs, ys = c.select("x").distinct(), c.agg(F.array_sort(F.collect_set("y")).alias("ys"))
-    grid = xs.join(F.broadcast(ys), F.size("ys") > 0).select("x", F.explode("ys").alias("y"))  # ys: one row
-    g = grid.join(c, ["x", "y"], "left").select("x", "y", F.coalesce("n", F.lit(0)).alias("n"))
-    below = Window.partitionBy("y").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("col", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    row = Window.partitionBy("x").orderBy("y")
-    g = g.withColumn("less", F.coalesce(F.sum("col").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    g = g.withColumn("more", F.coalesce(F.sum("col").over(row.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)))
-    main = g.agg(F.sum(F.col("n") * F.col("less")).alias("con"), F.sum(F.col("n") * F.col("more")).alias("dis"), F.sum("n").alias("n"))
+    ranks = global_rank(c.select("y").distinct(), ["y"], "r")
+    levels = max(1, (ranks.count() - 1).bit_length())
+    bits = c.join(ranks, "y").withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    one = F.col("r").bitwiseAND(F.lit(1)) == 1
+    g = bits.select("bit", F.expr("shiftright(r, bit)").alias("r"), "x", "n").select("bit", F.shiftright("r", 1).alias("high"), "x", F.when(one, F.col("n")).otherwise(0).alias("n1"), F.when(one, 0).otherwise(F.col("n")).alias("n0"))
+    g = g.groupBy("bit", "high", "x").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    g = running_total(g, ["bit", "high", "x"], "n0", "upto")
+    ends = g.groupBy("bit", "high").agg(F.max("upto").alias("last"), F.sum("n0").alias("all0"))
+    g = g.join(ends, ["bit", "high"]).withColumn("before", F.col("upto") - F.col("n0") - (F.col("last") - F.col("all0")))
+    main = g.agg(F.sum(F.col("n1") * F.col("before")).alias("con"), F.sum(F.col("n1") * (F.col("last") - F.col("upto"))).alias("dis"))
+    main = main.join(F.broadcast(c.agg(F.sum("n").alias("n"))), F.lit(True))  # one row each
     tie = lambda v: c.groupBy(v).agg(F.sum("n").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1)).alias(f"t{v}"))
     one = main.join(F.broadcast(tie("x")), F.lit(True)).join(F.broadcast(tie("y")), F.lit(True))  # one row each
     pairs = F.col("n") * (F.col("n") - 1)
-    d = (pairs - F.col("tx")) * (pairs - F.col("ty"))
+    d = (pairs - F.col("tx")).cast("double") * (pairs - F.col("ty"))
     num = 2 * (F.col("con") - F.col("dis"))
     return one.select(F.when((F.col("n") > 1) & (d > 0), F.round(num / F.sqrt(d.cast("double")), 6)).otherwise(F.lit(0.0)).alias("tau"))
+
+
+def mean_error_and_correlation(df: DataFrame, score: Column, truth: Column, *by: str) -> DataFrame:
+    """(by, mae, pearson), rounded to six decimals; pearson is 0 without spread on either side."""
+    d = df.select(*by, score.cast("double").alias("s"), truth.cast("double").alias("t")).where("s IS NOT NULL AND t IS NOT NULL")
+    n, ss, st = F.count(F.lit(1)), F.sum("s"), F.sum("t")
+    m = d.groupBy(*by).agg(F.avg(F.abs(F.col("s") - F.col("t"))).alias("mae"), (n * F.sum(F.col("s") * F.col("t")) - ss * st).alias("cov"), (n * F.sum(F.col("s") * F.col("s")) - ss * ss).alias("vs"), (n * F.sum(F.col("t") * F.col("t")) - st * st).alias("vt"))
+    r = F.when((F.col("vs") > 1e-9) & (F.col("vt") > 1e-9), F.round(F.col("cov") / F.sqrt("vs") / F.sqrt("vt"), 6)).otherwise(F.lit(0.0))
+    return m.select(*by, F.round("mae", 6).alias("mae"), r.alias("pearson"))
+
+
+def best(grid: DataFrame, by: str, value: str, largest: bool = False) -> DataFrame:
+    """The grid's best row by `value`; ties: the smallest `by`."""
+    v = F.col(value)
+    return grid.orderBy(v.desc() if largest else v.asc(), by).limit(1)

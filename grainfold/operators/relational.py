@@ -25,6 +25,16 @@ def global_rank(df: DataFrame, order: Sequence[str], name: str = "rn") -> DataFr
     return ranked.join(before, "__part").withColumn(name, F.col("__before") + F.col("__within") - 1).drop("__part", "__within", "__before")
 
 
+def running_total(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Adds the sum of `value` over this row and all before it in a total order, parted by
+    range as in global_rank: each part adds the sums of the parts before."""
+    parts = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sums = parts.groupBy("__part").agg(F.sum(value).alias("__sum"))
+    before = sums.select("__part", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    within = F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.withColumn("__within", within).join(before, "__part").withColumn(name, F.col("__before") + F.col("__within")).drop("__part", "__within", "__before")
+
+
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Adds `mark`, whose order is the same shuffle of the keys everywhere."""
     return df.withColumn("mark", F.md5(F.concat(F.col(key), F.lit(f"-{seed}"))))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,8 @@ class CascadePlan:
     kinds: Mapping[str, str]
     config: CascadeConfig
     order: Sequence[str] | None = None
+    #: Leaves answered by the negation of another predicate: leaf -> the predicate to judge.
+    negates: Mapping[str, str] = field(default_factory=dict)
 
     @property
     def leaves(self) -> list[str]:
@@ -29,6 +31,16 @@ class CascadePlan:
     def steps(self) -> int:
         return max(len(self.config.route(self.kinds[n])) for n in self.leaves)
 
+    def judged(self, leaf: str) -> str:
+        return self.negates.get(leaf, leaf)
+
+    def direction(self, leaf: str, direction: Column, force: bool) -> Column:
+        """A negated leaf's answer is the other one; it is judged unforced, and what stays
+        undecided is forced to FALSE only then."""
+        if leaf not in self.negates:
+            return direction
+        return F.coalesce(~direction, F.lit(False)) if force else ~direction
+
     def known(self) -> dict[str, Column]:
         return {n: F.col(f"known_{n}") for n in self.leaves}
 
@@ -62,9 +74,9 @@ def one_plan(df: DataFrame, plan: CascadePlan, source: WordQuestions) -> DataFra
                 continue
             step, force = route[s], s == len(route) - 1
             todo = needed(plan.tree, plan.known())[n] & (F.lit(s) >= F.col(f"start_{n}"))
-            df = df.withColumn("__todo", todo).withColumn("__twice", F.when(F.col("__todo"), source.twice(n, step.tier, F.col("__low"))))
-            df = df.withColumn("__v", F.when(F.col("__todo"), source.verdict(n, step, force, F.col("__twice"))))
-            settled = gate(F.col("__v.direction"), F.col("__v.confidence"), F.lit(plan.config.tau(n, plan.kinds[n], step.tier)), force)
+            df = df.withColumn("__todo", todo).withColumn("__twice", F.when(F.col("__todo"), source.twice(plan.judged(n), step.tier, F.col("__low"))))
+            df = df.withColumn("__v", F.when(F.col("__todo"), source.verdict(plan.judged(n), step, force and n not in plan.negates, F.col("__twice"))))
+            settled = gate(plan.direction(n, F.col("__v.direction"), force), F.col("__v.confidence"), F.lit(plan.config.tau(n, plan.kinds[n], step.tier)), force)
             df = df.withColumns({
                 f"known_{n}": F.when(F.col("__todo"), settled).otherwise(F.col(f"known_{n}")),
                 f"conf_{n}": F.when(F.col("__todo"), F.col("__v.confidence")).otherwise(F.col(f"conf_{n}")),
@@ -99,7 +111,8 @@ def staged(df: DataFrame, key: str, content: DataFrame, plan: CascadePlan, sourc
             step, force = route[s], s == len(route) - 1
             todo = state.where(needed(plan.tree, plan.known())[n] & (F.col(f"start_{n}") <= s)).select(key)
             text = content.join(todo, key, "left_semi")
-            got = written(source.answer(text, key, n, step, force), "answers")
+            got = written(source.answer(text, key, plan.judged(n), step, force and n not in plan.negates), "answers")
+            got = got.withColumn("direction", plan.direction(n, F.col("direction"), force))
             tau = plan.config.tau(n, plan.kinds[n], step.tier)
             value = gate(F.col("direction"), F.col("confidence"), F.lit(tau), force)
             event = got.select(F.lit(seq).alias("seq"), key, F.lit(n).alias("predicate"), F.lit(step.tier).alias("tier"), F.lit(step.modality).alias("modality"), "direction", "confidence", F.lit(tau).alias("tau"), value.alias("value"), "cost")

@@ -133,30 +133,82 @@ def wide(tags: DataFrame, names: Sequence[str], key: str = "parent_asin") -> Dat
 
 
 class TagStore:
-    """Versions of the tag table under one folder, with a pointer to the current one.
+    """Versions of the tag table under one folder, each with a numbered pointer.
 
-    A writer adds a version, then moves the pointer; readers of an older version go on
-    undisturbed. One writer at a time.
+    A writer adds a version, then a pointer with the next number; nothing is deleted, so
+    readers of any version go on undisturbed. The highest complete pointer counts. Only a
+    folder without pointers is an empty store; a failure to read is raised. One writer at
+    a time.
     """
 
     def __init__(self, spark: SparkSession, folder: str, schema: T.StructType):
         self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
 
-    def _pointer(self) -> str | None:
-        try:
-            rows = self.spark.read.text(f"{self.folder}/current").collect()
-        except Exception:
-            return None
-        return rows[0][0] if rows else None
+    def _pointers(self) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/pointers")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        own = [s.getPath() for s in fs.listStatus(path)]
+        return sorted(p.getName() for p in own if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
     def read(self) -> DataFrame:
-        v = self._pointer()
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{v}") if v else self.spark.createDataFrame([], self.schema)
+        pointers = self._pointers()
+        if not pointers:
+            return self.spark.createDataFrame([], self.schema)
+        version = self.spark.read.text(f"{self.folder}/pointers/{pointers[-1]}").first()[0]
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{version}")
 
     def write(self, df: DataFrame) -> None:
-        v = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.folder}/{v}")
-        self.spark.createDataFrame([(v,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/current")
+        pointers, version = self._pointers(), f"v-{uuid.uuid4().hex}"
+        df.select(*self.schema.names).write.parquet(f"{self.folder}/{version}")
+        number = int(pointers[-1]) + 1 if pointers else 1
+        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.text(f"{self.folder}/pointers/{number:012d}")
 
     def upsert(self, new: DataFrame, keys: list[str]) -> None:
         self.write(upsert(self.read(), new, keys))
+
+
+def clear(tags: DataFrame, predicates: Sequence[str] | None = None, keys: DataFrame | None = None, key: str = "parent_asin") -> DataFrame:
+    """Tags without those of the given predicates (None: all) and rows (None: all); values,
+    confidence and provenance go, the rest of the table stays."""
+    hit = F.col("predicate_canon").isin(list(predicates)) if predicates is not None else F.lit(True)
+    if keys is None:
+        return tags.where(~hit | F.col("predicate_canon").isNull())
+    return tags.join(keys.select(key).distinct().withColumn("__hit", F.lit(True)), key, "left").where(~F.coalesce(hit & F.col("__hit"), F.lit(False))).drop("__hit")
+
+
+def record_use(history: DataFrame, predicates: Sequence[str], label: str, at: Column | None = None) -> DataFrame:
+    """The history with a query's predicates; a pair that is there stays as it was."""
+    spark = history.sparkSession
+    new = spark.createDataFrame([(p, label) for p in dict.fromkeys(predicates)], "predicate string, query_label string")
+    return insert_missing(history, new.withColumn("first_seen_at", at if at is not None else F.current_timestamp()), ["predicate", "query_label"])
+
+
+class StepSchedule:
+    """Where each (row, predicate) stands: scheduled, done at a tier and modality, or open.
+
+    State: (key, predicate, tier, modality, value): value -1 is scheduled, 0 undecided,
+    1 decided. Scheduling leaves what is there alone; completing puts the new state.
+    """
+
+    KEYS = ["key", "predicate", "tier", "modality"]
+
+    def __init__(self, state: DataFrame):
+        self.state = state
+
+    @staticmethod
+    def empty(spark: SparkSession) -> StepSchedule:
+        return StepSchedule(spark.createDataFrame([], "key string, predicate string, tier int, modality string, value int"))
+
+    def schedule(self, cells: DataFrame) -> StepSchedule:
+        return StepSchedule(insert_missing(self.state, cells.select(*self.KEYS).distinct().withColumn("value", F.lit(-1)), self.KEYS))
+
+    def complete(self, cells: DataFrame) -> StepSchedule:
+        """cells: KEYS and `settled` (boolean)."""
+        return StepSchedule(upsert(self.state, cells.select(*self.KEYS, F.col("settled").cast("int").alias("value")), self.KEYS))
+
+    def pending(self, tier: int | None = None, modality: str | None = None) -> DataFrame:
+        rows = self.state.where("value = -1")
+        rows = rows.where(F.col("tier") == tier) if tier is not None else rows
+        return rows.where(F.col("modality") == modality) if modality is not None else rows

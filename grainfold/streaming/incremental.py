@@ -1,15 +1,17 @@
-"""Incremental tagging: every micro-batch of new rows is judged once and put into the tag store."""
+"""Incremental tagging: every micro-batch of new rows is judged once; the tag store takes the
+tags when the stream has caught up, and rows it already holds are not judged again."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainfold.plans.cascade import CascadePlan, one_plan
 from grainfold.plans.judges import WordQuestions
+from grainfold.plans.tags import TagStore
 from grainfold.session import shared_dir
 
 TAGS = T.StructType([
@@ -22,7 +24,7 @@ TAGS = T.StructType([
 ])
 
 
-def tag_stream(spark: SparkSession, path: str, plan: CascadePlan, source: WordQuestions, predicate: str, folder: str | None = None, key: str = "parent_asin", text: str = "review_text") -> DataFrame:
+def tag_stream(spark: SparkSession, path: str, plan: CascadePlan, source: WordQuestions, predicate: str, folder: str | None = None, key: str = "parent_asin", text: str = "review_text", store: TagStore | None = None) -> DataFrame:
     """Judge all rows of a growing parquet table as a stream; returns the stored tags.
 
     Each batch writes one folder named by its number, and overwrites it if it is run again,
@@ -33,13 +35,22 @@ def tag_stream(spark: SparkSession, path: str, plan: CascadePlan, source: WordQu
     rows = spark.readStream.schema(schema).parquet(path.rsplit("/", 1)[0], pathGlobFilter=path.rsplit("/", 1)[1]) if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
 
     def judge(batch: DataFrame, number: int) -> None:
-        c = one_plan(batch.select(key, text), plan, source)
+        todo = batch.select(key, text)
+        if store is not None:
+            done = store.read().where((F.col("predicate_canon") == predicate) & F.col("tag_value").isNotNull())
+            todo = todo.join(done.select(F.col("parent_asin").alias(key)), key, "left_anti")
+        c = one_plan(todo, plan, source)
         out = c.select(F.col(key).alias("parent_asin"), F.lit(predicate).alias("predicate_canon"), F.col("answer").alias("tag_value"), F.col(f"conf_{predicate}").alias("confidence"), F.col(f"tier_{predicate}").alias("settled_tier"), F.lit(number).cast("long").alias("batch"))
         out.write.mode("overwrite").parquet(f"{folder}/tags/batch_no={number}")
 
     q = rows.writeStream.foreachBatch(judge).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(TAGS).parquet(f"{folder}/tags").drop("batch_no")
+    new = spark.read.schema(TAGS).parquet(f"{folder}/tags").drop("batch_no")
+    if store is None:
+        return new
+    last = new.withColumn("__n", F.row_number().over(Window.partitionBy("parent_asin").orderBy(F.col("batch").desc()))).where("__n = 1").drop("__n")
+    store.upsert(last, ["parent_asin", "predicate_canon"])
+    return store.read()
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
