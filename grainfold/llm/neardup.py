@@ -5,19 +5,25 @@ smallest value of hash function i over the text's word runs, so two texts agree
 position with a chance that equals their similarity. An inverted index lists texts by the
 bytes at groups of `rows` positions. Two texts meeting in a list are tallied over sixteen
 further positional bytes, and only pairs with the minimum number of matches are kept and
-verified on the texts themselves.
+verified on the texts themselves. The groups grow with the number of texts, so that lists
+stay short, and the number of groups with them, so that no more pairs are missed.
+
+A signature reaches its minimum with a known chance only. Where every link is wanted,
+`exact` indexes the word runs themselves: of a text's runs, rarest first, so many are
+listed that any two texts similar enough are guaranteed to meet in at least one list.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from fractions import Fraction
+from math import comb
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainfold.llm import textvec as tv
@@ -36,10 +42,32 @@ class Similarity:
     rows: int = 3
     bands: int = 28
     matches: int = 7
+    #: Index the word runs themselves: no link is missed, at the price of longer lists.
+    exact: bool = False
+    #: Texts in a list by chance, at most: rows grow until there are so many lists.
+    crowd: int = 16
     #: Posting lists longer than this are tallied block against block in separate tasks.
     block: int = 8192
 
 
+def miss_chance(s: Similarity) -> float:
+    """The chance that a pair right at the threshold is missed."""
+    p = float(s.at_least)
+    enough = sum(comb(_TALLY, k) * p**k * (1 - p) ** (_TALLY - k) for k in range(s.matches, _TALLY + 1))
+    return (1 - p**s.rows * enough) ** s.bands
+
+
+def fitted(s: Similarity, texts: int) -> Similarity:
+    """The same with more rows where `texts` would crowd the lists, and as many more bands as
+    keep the chance of a miss. A key has eight bytes, two of them for the band."""
+    own = s
+    while own.rows < 6 and texts > own.crowd * 256**own.rows:
+        own = replace(own, rows=own.rows + 1)
+        while miss_chance(own) > miss_chance(s):
+            own = replace(own, bands=own.bands + 1)
+    return own
+
+
 def _signatures(words: np.ndarray, counts: np.ndarray, s: Similarity) -> np.ndarray:
     """Positional bytes (texts x positions); texts have at least one run each."""
     runs, n = tv.word_runs(words, counts, s.run)
@@ -101,6 +129,33 @@ def postings(texts: DataFrame, s: Similarity) -> DataFrame:
     return texts.mapInArrow(run, "key bigint, doc bigint, t1 bigint, t2 bigint")
 
 
+def exact_postings(texts: DataFrame, s: Similarity) -> DataFrame:
+    """(key, doc, t1, t2): the rarest runs of each distinct text, one more than the texts of a
+    pair can differ in: of n runs, n - ceil(n * at_least) + 1. Two texts that share enough
+    runs share one of these, whichever of them the other lacks (ties: the smaller hash)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            for a, b in tv.slices(own):
+                words, counts = tv.Batch(own[a:b]).words()
+                doc = tv.sequence_hash(words, counts).view(np.int64)
+                runs, n = tv.word_runs(words, counts, s.run)
+                keep = np.repeat(counts >= max(s.min_words, s.run), n)
+                if keep.any():
+                    yield pa.record_batch([pa.array(np.repeat(doc, n)[keep]), pa.array(runs.view(np.int64)[keep])], names=["doc", "key"])
+
+    every = written(texts.mapInArrow(run, "doc bigint, key bigint").distinct(), "runs")
+    counted = every.join(every.groupBy("key").agg(F.count(F.lit(1)).alias("df")), "key").where("df > 1")
+    sizes = every.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+    # Runs that no other text has come first of all: they take up the first places.
+    alone = counted.groupBy("doc").agg(F.count(F.lit(1)).alias("common")).join(sizes, "doc").select("doc", "n", (F.col("n") - F.col("common")).alias("alone"))
+    num, den = s.at_least.numerator, s.at_least.denominator
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("df", "key"))
+    listed = counted.withColumn("place", place).join(alone, "doc").where(F.col("place") + F.col("alone") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1)
+    return listed.select("key", "doc", F.lit(0).cast("bigint").alias("t1"), F.lit(0).cast("bigint").alias("t2"))
+
+
 def _matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Number of equal bytes of two arrays of eight positional bytes."""
     x = (a ^ b).view(np.uint64)
@@ -250,7 +305,8 @@ def near_duplicates(df: DataFrame, key: Column, group: Column, text: Column, s:
     with fewer than min_words words take no part. Repeated rows and ties change nothing;
     empty tables give no links; only the three given columns are read. Signatures can miss
     a pair: at the threshold itself the chance is (1 - p^rows * q)^bands, with p the
-    similarity and q the chance of enough tally matches; it falls fast above it.
+    similarity and q the chance of enough tally matches (miss_chance); it falls fast above
+    it. With s.exact no pair is missed.
     """
 
     @F.pandas_udf("doc bigint, words bigint")
@@ -265,7 +321,8 @@ def near_duplicates(df: DataFrame, key: Column, group: Column, text: Column, s:
     source = df.select(key.alias("key"), group.alias("grp"), text.alias("text")).where("text IS NOT NULL")
     hashed = source.select("key", "grp", words_of("text").alias("w"), canonical_hash()("text").alias("c"))
     rows = written(hashed.where(F.col("w.words") >= max(s.min_words, s.run)).select("key", "grp", "w.doc", "c.*"), "texts")
-    pairs = written(candidates(postings(source.select("text"), s), s), "pairs")
+    s = replace(s, matches=0) if s.exact else fitted(s, rows.count())
+    pairs = written(candidates((exact_postings if s.exact else postings)(source.select("text"), s), s), "pairs")
     docs = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     holders = rows.join(docs, "doc").groupBy("doc").agg(F.min("key").alias("key"))
     texts = written(holders.join(source.select("key", "text"), "key").select("doc", "text"), "held")

@@ -1,5 +1,6 @@
 import random
 import re
+from dataclasses import replace
 from fractions import Fraction
 
 import numpy as np
@@ -105,12 +106,23 @@ def test_near_duplicates_find_edits_and_reordering(spark):
         n = neardup.near_duplicates(df, F.col("k"), F.col("g"), F.col("t"), s)
         got = {tuple(r) for r in neardup.expand_pairs(n).collect()}
         assert not got - want and len(want - got) <= 0.01 * len(want)
+    for block in (8192, 3):
+        every = neardup.near_duplicates(df, F.col("k"), F.col("g"), F.col("t"), replace(s, exact=True, block=block))
+        assert {tuple(r) for r in neardup.expand_pairs(every).collect()} == want
     classes = {r.key: r["class"] for r in neardup.duplicate_classes(n).collect()}
     assert len({classes[f"k3_{v}"] for v in range(4)}) == 1 and classes["k3_0"] != classes["k4_0"] and classes["c1"] == classes["k0_0"]
     empty = neardup.near_duplicates(df.limit(0), F.col("k"), F.col("g"), F.col("t"), s)
     assert neardup.expand_pairs(empty).count() == 0 and neardup.duplicate_classes(empty).count() == 0
 
 
+def test_lists_stay_short_however_many_texts():
+    s = neardup.Similarity(run=3, at_least=Fraction(1, 2), min_words=20)
+    assert neardup.fitted(s, 10**6) == s
+    for n in (10**9, 10**12):
+        own = neardup.fitted(s, n)
+        assert n <= own.crowd * 256**own.rows and neardup.miss_chance(own) <= neardup.miss_chance(s) < 0.07
+
+
 def test_components_of_a_chain(spark):
     links = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).where("a <> 30")
     got = {r.doc: r["class"] for r in neardup.components(links).collect()}
