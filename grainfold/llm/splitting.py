@@ -167,8 +167,8 @@ def _longest(path: str) -> int:
     return int(tokens.byte_lengths(path).max())
 
 
-_PIECES = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("piece", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("own", pa.int64()), ("tokens", pa.int32()), ("body", pa.string())])
-_PIECES_SQL = "doc_id bigint, part int, piece int, first bigint, last bigint, own bigint, tokens int, body string"
+_PIECES = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("piece", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("repeated", pa.int64()), ("own", pa.int64()), ("tokens", pa.int32()), ("body", pa.string())])
+_PIECES_SQL = "doc_id bigint, part int, piece int, first bigint, last bigint, repeated bigint, own bigint, tokens int, body string"
 #: Pieces leave a worker in record batches of about so many bytes.
 _BATCH = 4_000_000
 
@@ -179,8 +179,10 @@ def _emit(ranges: Iterator[tuple[int, int, int, int, bytes]], s: Split, bodies:
     rows, held = [], 0
     for doc, part, ctx, begin, body in ranges:
         n, pieces = cut_range(body, ctx, begin, s, e, lengths)
+        end = begin
         for k, (a, b, t) in enumerate(pieces):
-            rows.append((doc, part, k + 1, a, b, n if k == 0 else 0, t, body[a - ctx : b - ctx].decode("utf-8", "replace") if bodies else None))
+            rows.append((doc, part, k + 1, a, b, end - a, n if k == 0 else 0, t, body[a - ctx : b - ctx].decode("utf-8", "replace") if bodies else None))
+            end = b
         held += len(body)
         if held >= _BATCH or len(rows) >= 10_000:
             yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
@@ -230,8 +232,9 @@ def _of_column(docs: DataFrame, doc_id: Column, text: Column, s: Split, bodies:
 
 
 def split_texts(docs: DataFrame, doc_id: Column, text: Column, s: Split = Split(), bodies: bool = True) -> DataFrame:
-    """(doc_id, piece, first, last, tokens, body): pieces of at most `limit` tokens, in order;
-    first, last: bytes of the text's UTF-8 form. body is null if bodies are not asked for.
+    """(doc_id, piece, first, last, repeated, tokens, body): pieces of at most `limit` tokens, in
+    order; first, last: bytes of the text's UTF-8 form; repeated: how many of them the piece
+    before holds too. body is null if bodies are not asked for.
 
     Cuts lie at the best boundary in the last half of a piece: paragraph, then sentence,
     then word ends; inside an unbroken run, at a token. The next piece begins at the last
@@ -240,7 +243,7 @@ def split_texts(docs: DataFrame, doc_id: Column, text: Column, s: Split = Split(
     empty texts give no piece; doc_id must be unique and not null; ties and repeated texts
     change nothing; further columns are not read.
     """
-    return _of_column(docs, doc_id, text, s, bodies).select("doc_id", "piece", "first", "last", "tokens", "body")
+    return _of_column(docs, doc_id, text, s, bodies).select("doc_id", "piece", "first", "last", "repeated", "tokens", "body")
 
 
 def token_totals(docs: DataFrame, doc_id: Column, text: Column, s: Split) -> DataFrame:
@@ -278,13 +281,11 @@ def split_files(files: DataFrame, doc_id: Column, uri: Column, s: Split = Split(
 
     sized = f.mapInArrow(sizes, "doc_id bigint, uri string, size bigint").where("size > 0")
     parts = sized.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / s.range_bytes).cast("int"))).alias("part"))
-    return _numbered(parts.repartition("doc_id", "part").mapInArrow(cut, _PIECES_SQL)).select("doc_id", "piece", "first", "last", "tokens", "body")
+    return _numbered(parts.repartition("doc_id", "part").mapInArrow(cut, _PIECES_SQL)).select("doc_id", "piece", "first", "last", "repeated", "tokens", "body")
 
 
 def own_stretches(pieces: DataFrame) -> DataFrame:
     """(doc_id, piece, body): each piece without what it repeats of the one before, so that the
     stretches of a text, laid end to end, are the text."""
-    before = F.lag("last", 1, 0).over(Window.partitionBy("doc_id").orderBy("piece"))
     raw = F.encode("body", "UTF-8")
-    p = pieces.withColumn("skip", (before - F.col("first")).cast("int"))
-    return p.select("doc_id", "piece", F.decode(F.substring(raw, F.col("skip") + 1, F.octet_length(raw)), "UTF-8").alias("body"))
+    return pieces.select("doc_id", "piece", F.decode(F.substring(raw, F.col("repeated").cast("int") + 1, F.octet_length(raw)), "UTF-8").alias("body"))
