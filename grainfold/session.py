@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
     Only where the setting is absent (single-machine tests) is a local folder made,
-    once per application.
+    once per application, and removed at its end.
     """
     named = spark.sparkContext.getConf().get(_CHECKPOINT) or spark.conf.get(_CHECKPOINT, None)
     if named:
@@ -28,14 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
         return current.get()
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError(f"set {_CHECKPOINT} to a folder shared by all executors")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="grainfold-"))
+    own = tempfile.mkdtemp(prefix="grainfold-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+_stored: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df below the shared folder and read it back: lineage is cut by stored files,
-    so a lost executor never forces earlier stages to run again."""
+    so a lost executor never forces earlier stages to run again. clean() removes them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes what written() stored so far; frames that still read it must be done with."""
+    while _stored:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -153,3 +153,15 @@ def test_measures_and_proxy_join(spark):
         assert got == {(0, 1), (1, 0), (0, 5), (1, 5), (2, 5)}
     low, high = semantic.accuracy_thresholds(spark.createDataFrame([(0.9, True), (0.8, True), (0.7, False), (0.6, True), (0.1, False)], "s double, t boolean"), "s", "t")
     assert (low, high) == (0.6, 0.8)
+
+
+def test_stored_frames_can_be_removed(spark):
+    from pathlib import Path
+
+    from grainfold import session
+
+    df = session.written(spark.range(3), "x")
+    path = Path(df.inputFiles()[0].removeprefix("file://")).parent
+    assert df.count() == 3 and path.exists()
+    session.clean(spark)
+    assert not path.exists() and not session._stored
