@@ -177,9 +177,10 @@ def mix(docs: DataFrame, doc_id: Column, source: Column, text: Column, targets:
         return Mixture(empty, spark.createDataFrame([], "source string, target_share double, expected_share double, actual_share double, wanted_tokens double, reached_tokens double, tokens double, docs bigint"))
     m = replace(m, buckets=max(16, min(m.buckets, m.cells // S)))
 
+    # One short row per target, all of which the driver holds already: small enough to broadcast.
     index = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "__name string, cls int")
     d = docs.select(doc_id.cast("bigint").alias("doc_id"), source.alias("__source"), text.alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    d = d.join(index, F.col("__source") == F.col("__name"), "left").select("doc_id", F.coalesce("cls", F.lit(-1)).alias("cls"), "text")
+    d = d.join(F.broadcast(index), F.col("__source") == F.col("__name"), "left").select("doc_id", F.coalesce("cls", F.lit(-1)).alias("cls"), "text")
     weights = fit_classifier(d.where("cls >= 0").select("cls", "text"), S, m)
     if not np.isfinite(weights[:, -1]).any():
         weights[:, -1] = 0.0
@@ -282,7 +283,7 @@ def mix(docs: DataFrame, doc_id: Column, source: Column, text: Column, targets:
 
     copies = written(dealt.groupBy("cls", "soft", "block").applyInPandas(whole_copies, "doc_id bigint, cls int, tokens bigint, rate double, repeats int, p array<double>"), "rates")
     label = spark.createDataFrame([(i, n, float(share[i]), float(share[i] * total)) for i, n in enumerate(names)], "cls int, source string, target_share double, wanted_tokens double")
-    rates = copies.join(label, "cls").select("doc_id", "source", "tokens", "rate", "repeats")
+    rates = copies.join(F.broadcast(label), "cls").select("doc_id", "source", "tokens", "rate", "repeats")
     members = F.when(F.col("p").isNull(), F.array(F.struct(F.col("cls").alias("cls"), F.lit(1.0).alias("w")))).otherwise(F.transform("p", lambda w, i: F.struct(i.alias("cls"), w.alias("w"))))
     each = copies.withColumn("m", F.explode(members)).select("m.cls", (F.col("tokens") * F.col("m.w")).alias("t"), "rate", "repeats", F.col("p").isNull().alias("own"))
     by = each.groupBy("cls").agg(F.sum(F.col("t") * F.col("rate")).alias("e"), F.sum(F.col("t") * F.col("repeats")).alias("reached_tokens"), F.sum("t").alias("tokens"), F.count_if("own").alias("docs"))
